@@ -20,7 +20,7 @@ def delivery_fact(raw: Column, bounced: Column) -> Column:
 
 def card_label(states: Column) -> Column:
     """One distinct state gives itself, several give mixed, none gives not_sent."""
-    distinct = F.array_distinct(F.array_compact(states))
+    distinct = F.coalesce(F.array_distinct(F.array_compact(states)), F.array())
     return F.when(F.size(distinct) == 0, "not_sent").when(F.size(distinct) == 1, F.element_at(distinct, 1)).otherwise("mixed")
 
 
