@@ -21,9 +21,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_made: list[str] = []
+
+
+def made_so_far() -> int:
+    """How many tables this process has written to the shared folder and not removed."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Remove the tables written since made_so_far() gave `since`, but for the last `keep`; nothing may read them later."""
+    gone = _made[since : len(_made) - keep]
+    for path in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _made.remove(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read again: lineage ends here and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
