@@ -20,7 +20,6 @@ DIGRAPHS = [("sch", "s"), ("shh", "s"), ("ch", "c"), ("sh", "s"), ("zh", "j"), (
 TO_CYRILLIC_DIGRAPHS = [("shch", "щ"), ("sch", "щ"), ("sh", "ш"), ("ch", "ч"), ("zh", "ж"), ("kh", "х"), ("ts", "ц"), ("yu", "ю"), ("ya", "я"), ("yo", "ё"), ("ph", "ф"), ("ck", "к"), ("ee", "и"), ("oo", "у"), ("x", "кс")]
 TO_CYRILLIC_FROM, TO_CYRILLIC = "abcdefghijklmnopqrstuvwyz", "абкдефгхижклмнопкрстуввйз"
 ACTIVITY = {"manufacturer": [*range(10, 12), *range(13, 34)], "wholesale": [46], "retail": [47], "contractor": [41, 42, 43]}
-NAME_PAGE_HINTS = "requisit|rekvizit|rekviz|details|legal|about|contact|kontakt|o-kompanii"
 # End of fixed values.
 
 
@@ -127,6 +126,12 @@ def ownership(host: Column, registry_site: Column, registry_emails: Column, know
     return F.when((site != "") & (site == root), "site").when(F.array_contains(emails, F.lower(F.trim(known_email))), "email").when(own, "domain").otherwise("none")
 
 
+def evidence_weight(kind: Column) -> Column:
+    """Weight of a proof of ownership; 60 or more is accepted."""
+    table = F.create_map(*[F.lit(x) for pair in EVIDENCE_WEIGHT.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, kind), F.lit(0))
+
+
 def display_name(name: Column) -> Column:
     """Long legal forms abbreviated, quotes of one kind, blanks compacted."""
     out = F.coalesce(name, F.lit(""))

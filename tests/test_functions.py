@@ -44,6 +44,7 @@ def test_company_names(spark):
     assert one(spark, company.activity_role, ["25.11", "46.73", "47.1", "43.2", "62.01", "", None]) == ["manufacturer", "wholesale", "retail", "contractor", "other", "", ""]
     own = company.ownership(F.lit("shop.site.ru"), F.col("c0"), F.split("c1", ","), F.col("c2"), mail.FREE_MAIL_DOMAINS)
     assert values(spark, [("https://www.site.ru/x", "a@b.ru", ""), ("", "a@mail.ru", "A@mail.ru"), ("", "q@site.ru", "z"), ("", "a@mail.ru", "z")], own) == ["site", "email", "domain", "none"]
+    assert one(spark, company.evidence_weight, ["ogrn", "domain", "none", "odd", None]) == [120, 60, 0, 0, 0]
     assert one(spark, company.display_name, ['Общество с ограниченной ответственностью "Ромашка"']) == ["ООО Ромашка"]
 
 
