@@ -27,9 +27,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.llm.common import table
+from quayside.llm.common import give_back, small_batches, table
 
-KEPT = 300_000
+KEPT = 200_000
+#: New pre-tokens that are replayed together.
+TOGETHER = 20_000
 #: Merges up to this rank stand at many places at once and are replayed as arrays, later ones place by place.
 COMMON = 1500
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -302,7 +304,9 @@ class Encoder:
 
     def learn_words(self, words: Iterable[str]) -> None:
         new = sorted(w for w in set(words) if w not in self.words)
-        self.words.update(zip(new, replay_all([w.encode() for w in new], self.merges), strict=True))
+        for a in range(0, len(new), TOGETHER):
+            part = new[a : a + TOGETHER]
+            self.words.update(zip(part, replay_all([w.encode() for w in part], self.merges), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.stretches) > self.kept or len(self.words) > self.kept:
@@ -336,7 +340,7 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-def groups(texts: list[str | None], most: int = 3_000_000) -> Iterator[tuple[int, list[str]]]:
+def groups(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) in groups of about `most` characters; a longer text is a group of its own."""
     first, held, size = 0, [], 0
     for i, text in enumerate(texts):
@@ -352,6 +356,7 @@ def groups(texts: list[str | None], most: int = 3_000_000) -> Iterator[tuple[int
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per document: doc_id, n_tokens, digests of the ids and of the decoded bytes, and the ids if asked for."""
+    small_batches(docs.sparkSession)
     # the ranks have a fixed size (a tokenizer's vocabulary), so every task may hold them
     merges = docs.sparkSession.sparkContext.broadcast(Merges(load_ranks(vocabulary)))
 
@@ -373,6 +378,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc
                     columns.append(pa.array([np.frombuffer(x, dtype="<u4").tolist() for x in packed], pa.list_(pa.int64())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        encoder = None
+        give_back()
 
     chosen = docs.selectExpr(f"cast(`{id_column}` as long) as doc_id", f"`{text_column}` as text")
     return chosen.mapInArrow(run, SCHEMA + ", ids array<long>" * with_ids)

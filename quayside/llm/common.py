@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of one Arrow batch; long texts would fill memory in batches counted by rows alone.
+ARROW_BYTES = 16 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ARROW_BYTES at most, unless the session has set a limit of its own."""
+    if spark.conf.get(_LIMIT, None) is None:
+        spark.conf.set(_LIMIT, str(ARROW_BYTES))
+
+
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: workers are used again by later stages."""
+    gc.enable()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

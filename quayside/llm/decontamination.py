@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import table
+from quayside.llm.common import give_back, small_batches, table
 from quayside.llm.hashing import ALNUM, Words, blocks
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -117,6 +117,7 @@ def passes_for(items: DataFrame, text_column: str, most: int) -> int:
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, bins: int = BINS, pass_bytes: int = PASS_BYTES, id_column: str = "doc_id", text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
     """doc_id, item_id, n_shingles (distinct, of the item), n_shared, containment of at least the threshold."""
     spark = docs.sparkSession
+    small_batches(spark)
     chosen = docs.selectExpr(f"cast(`{id_column}` as long) as doc_id", f"`{text_column}` as text")
     items = items.select(F.col(item_id_column).cast("long").alias("item_id"), F.col(item_text_column).alias("text"))
     passes = passes_for(items, "text", pass_bytes)
@@ -146,6 +147,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "n_shingles", "n_shared", "containment"])
+            give_back()
 
         found = chosen.mapInArrow(run, SCHEMA)
         out = found if out is None else out.union(found)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import table, written
+from quayside.llm.common import small_batches, table, written
 from quayside.llm.hashing import STEP, Words, blocks, mix, powers
 
 LENGTH, ANCHOR = 20, 8
@@ -225,6 +225,7 @@ def with_marks(texts: DataFrame, marks: DataFrame, how: str) -> DataFrame:
 
 def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most: int = MOST, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of the kept words joined by one space; and these words if asked for."""
+    small_batches(docs.sparkSession)
     texts = docs.select(
         F.coalesce(F.col(id_column).cast("long"), F.lit(int(LAST))).alias("id"),
         F.xxhash64(F.col(text_column)).alias("twin"),

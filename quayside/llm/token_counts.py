@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
 from quayside.llm.bpe import CROSSING, KEPT, groups
-from quayside.llm.common import table
+from quayside.llm.common import give_back, small_batches, table
 
 #: Fixed value: the pattern of the library's byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -109,6 +109,7 @@ class Counts:
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and whether the tokens are over the limit."""
+    small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as file:
         definition = docs.sparkSession.sparkContext.broadcast(file.read())  # a vocabulary, of fixed size
 
@@ -130,6 +131,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
                     ],
                     ["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
+        counts = None
+        give_back()
 
     chosen = docs.selectExpr(f"cast(`{id_column}` as long) as doc_id", f"`{text_column}` as text")
     return chosen.mapInArrow(run, SCHEMA)
