@@ -5,8 +5,8 @@ the log-likelihood of the declared (markup) language; that of the address suffix
 The trigram model is fitted on at most SAMPLE labelled rows a language, chosen by hash. Declaration and suffix
 likelihoods and host priors come from grouped counts over all rows, by the language that the text alone suggests;
 host priors are smoothed towards those of the suffix, these towards the whole. Hosts are joined, never collected;
-what the driver holds are the trigram table, the languages, and up to MOST_VALUES declared values and suffixes
-each (rarer ones count as one value, "other").
+what the driver holds are the trigram table of the MOST_LANGUAGES most frequent labels, and up to MOST_VALUES
+declared values and suffixes each (rarer ones count as one value, "other").
 
 A document is kept if its best language has a posterior of MIN_POSTERIOR or more and its text has letters.
 Defined results: a null or letterless text has no text evidence and is rejected; null declaration, host or address
@@ -26,14 +26,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quayside.llm.common import table, written
+from quayside.llm.common import small_batches, table, written
 from quayside.llm.hashing import LOWER, blocks
 
 SAMPLE, BUCKETS = 500, 1 << 14
 MIN_POSTERIOR = 0.5
 #: Neighbouring trigrams say much the same: a text counts as at most this many independent ones.
 EFFECTIVE = 60.0
-SMOOTHING, MOST_VALUES = 20.0, 200
+SMOOTHING, MOST_VALUES, MOST_LANGUAGES = 20.0, 200, 64
 
 LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -54,18 +54,23 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages by name, log-probabilities by language and bucket) from columns label, text."""
-    picked = labelled.where("label is not null and text is not null")
-    # pre-selection by hash within each task, then the first few of each label: no task holds all of a label
-    order = W.partitionBy("label", "part").orderBy("h")
-    picked = picked.withColumn("h", F.xxhash64("text")).withColumn("part", F.pmod("h", F.lit(64)))
-    picked = picked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(1, -(-sample // 64))).select("label", "text")
+    hashed = labelled.where("label is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    # a share of the hashes small enough to hold a little over the sample, so few texts move; copies count once
+    labels = hashed.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.col("n").desc(), "label").limit(MOST_LANGUAGES)
+    sizes = {r.label: r.n for r in labels.collect()}
+    share = lambda n: int(min(1.0, 2.0 * sample / n) * 2**31)
+    limit = F.lit(0)
+    for label, n in sizes.items():
+        limit = F.when(F.col("label") == label, share(max(n, 1))).otherwise(limit)
+    few = hashed.where(F.pmod("h", F.lit(2**31)) < limit).groupBy("label", "h").agg(F.first("text").alias("text"))
+    picked = few.withColumn("n", F.row_number().over(W.partitionBy("label").orderBy(F.pmod("h", F.lit(2**31)), "h"))).where(F.col("n") <= sample).select("label", "text")
 
     def run(batches):
         for batch in batches:
             for label in set(batch.column(0).to_pylist()):
                 counts = np.zeros(BUCKETS, dtype=np.int64)
                 mine = batch.filter(pc.equal(batch.column(0), label))
-                for _, _, data, offsets in blocks(mine.column(1)):
+                for _, _, data, offsets in blocks(mine.column(1), 1 << 18):
                     counts += np.bincount(trigrams(data, offsets)[0], minlength=BUCKETS)
                 some = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([label] * len(some), pa.string()), pa.array(some), pa.array(counts[some])], ["label", "bucket", "n"])
@@ -85,7 +90,7 @@ def text_evidence(model, n_languages: int):
     def likelihoods(texts: pa.Array) -> pa.Array:
         table_ = model.value
         out: list = []
-        for first, end, data, offsets in blocks(texts):
+        for first, end, data, offsets in blocks(texts, 1 << 18):
             bucket, row = trigrams(data, offsets)
             n = np.bincount(row, minlength=end - first).astype(float)
             sums = np.stack([np.bincount(row, weights=table_[j][bucket], minlength=end - first) for j in range(n_languages)]) if n_languages else np.zeros((0, end - first))
@@ -123,6 +128,7 @@ def identify(docs: DataFrame, declared: Column | None = None, host: Column | Non
     text, label (to fit the text model), declared language, host and address (its suffix counts) are columns of docs.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     null = F.lit(None).cast("string")
     text = F.col("text") if text is None else text
     pick = lambda c: (null if c is None else c).cast("string")
@@ -187,3 +193,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     found = identify(docs, declared=F.col("lang"), host=F.col("source"))
     return found.select(F.col("_row.doc_id").alias("doc_id"), "language", F.round("posterior", 6).alias("posterior"), "kept")
+
+
+def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on web pages, with all kinds of evidence: text, the html tag's language, host and address suffix."""
+    pages = table(spark, sf_dir, "pages")
+    bare = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
+    found = identify(pages, declared=declared_in(F.col("html")), host=host_of(F.col("url")), text=bare)
+    return found.select(F.col("_row.page_id").alias("page_id"), "language", F.round("posterior", 6).alias("posterior"), "kept")

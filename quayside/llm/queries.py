@@ -11,6 +11,7 @@ MODULES = {
     "op4_substring_dedup": "substring",
     "op5_line_dedup": "lines",
     "op6_language_id": "language",
+    "page_language_id": "language",
     "op7_chat_formatting": "chat",
     "op8_simhash_near_dedup": "simhash",
     "op9_personal_data": "pii",

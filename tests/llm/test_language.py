@@ -35,3 +35,13 @@ def test_page_evidence(spark):
     pages = [("https://user@WWW.Site.de:80/x?y", '<!DOCTYPE html><HTML class="a" lang="de-AT"><body>'), ("nothing", "<p lang='fr'>"), (None, None)]
     got = spark.createDataFrame(pages, "url string, html string").select(host_of(F.col("url")).alias("h"), declared_in(F.col("html")).alias("d"), suffix_of(host_of(F.col("url"))).alias("s")).collect()
     assert [tuple(r) for r in got] == [("www.site.de", "de", "de"), (None, None, None), (None, None, None)]
+
+
+def test_pages_table(spark):
+    from quayside.llm.language import page_language_id
+
+    found = page_language_id(spark, "/root/testdata/sf0.001")
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", declared_in(F.col("html")).alias("d"))
+    joined = found.join(pages, "page_id").collect()
+    assert len(joined) == pages.count() and all(r.kept for r in joined)
+    assert sum(r.language == r.d for r in joined) >= 0.9 * len(joined)
