@@ -41,9 +41,17 @@ CROSSING = regex.compile(r"\s (?:\s|\Z)")
 PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)").fullmatch
 
 
-def load_ranks(path: str) -> dict[bytes, int]:
+def read_file(path: str) -> bytes:
     with open(path, "rb") as file:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        return file.read()
+
+
+def parse_ranks(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
+
+
+def load_ranks(path: str) -> dict[bytes, int]:
+    return parse_ranks(read_file(path))
 
 
 def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
@@ -357,12 +365,12 @@ def groups(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per document: doc_id, n_tokens, digests of the ids and of the decoded bytes, and the ids if asked for."""
     small_batches(docs.sparkSession)
-    # the ranks have a fixed size (a tokenizer's vocabulary), so every task may hold them
-    merges = docs.sparkSession.sparkContext.broadcast(Merges(load_ranks(vocabulary)))
+    # the vocabulary's file has a fixed size; what is built from it lives in a task only, not in the worker
+    ranks = docs.sparkSession.sparkContext.broadcast(read_file(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # millions of strings are held, none in cycles
-        encoder = Encoder(merges.value, pattern)
+        encoder = Encoder(Merges(parse_ranks(ranks.value)), pattern)
         for batch in batches:
             ids = batch.column(0)
             for first, texts in groups(batch.column(1).to_pylist()):
@@ -387,10 +395,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id and the bytes that the ids (array<long>) stand for; null ids are none."""
-    pieces = encoded.sparkSession.sparkContext.broadcast({v: k for k, v in load_ranks(vocabulary).items()})
+    ranks = encoded.sparkSession.sparkContext.broadcast(read_file(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = pieces.value.__getitem__
+        look = {v: k for k, v in parse_ranks(ranks.value).items()}.__getitem__
         for batch in batches:
             found = [b"".join(map(look, ids or [])) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "decoded"])

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import small_batches, table, written
+from quayside.llm.common import give_back, small_batches, table, written
 from quayside.llm.components import components
 
 SEED = 42
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         for batch in batches:
             found = np.array([fingerprint(x.as_py(), width) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+        give_back()
 
     chosen = docs.selectExpr(f"cast(`{id_column}` as long) as doc_id", f"`{text_column}` as text")
     return chosen.mapInArrow(run, "doc_id long, fp long")
@@ -189,6 +190,8 @@ def near_links(distinct: DataFrame, radius: int = 4, pieces: int | None = None,
             yield found(rows)
         if held:
             yield found(links(held))
+        held = []
+        give_back()
 
     return dealt.selectExpr("t", "k", "i", "j", "cast(second as int) as second", "fp").mapInArrow(run, "u long, v long")
 
