@@ -17,7 +17,7 @@ def fact():
 
 
 @query(
-    "AGG20", "AGG21", "AGG22", "AGG23", "AGG24", "AGG25", "AGG26", "AGG32", "JOI29", "PRJ17", "PRJ24", "PRJ25", "RDM12", "FLAGSHIP",
+    "AGG20", "AGG21", "AGG22", "AGG23", "AGG24", "AGG25", "AGG26", "AGG32", "JOI29", "PRJ17", "PRJ24", "PRJ25", "RDM12",
     sql=f"""
     WITH lines AS (SELECT l_suppkey, {FACT_SQL} AS fact, count(*) AS n, max(l_shipdate) AS last FROM lineitem GROUP BY 1, 2),
     facts AS (SELECT l_suppkey, max_by(fact, last) AS latest, CAST(sum(n) AS BIGINT) AS sends, CAST(sum(CASE WHEN fact = 'bounced' THEN n ELSE 0 END) AS BIGINT) AS bounced, CAST(sum(CASE WHEN fact = 'accepted' THEN n ELSE 0 END) AS BIGINT) AS accepted
@@ -175,7 +175,7 @@ def label_scores(t: Tables) -> DataFrame:
     return t.labels.groupBy("quality").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("wrong"), (right.cast("double") / F.count("*")).alias("accuracy"))
 
 
-@query("AGG43", "SRC33", sql="SELECT page_id, len(regexp_extract_all(html, '<a ')) AS links, len(regexp_extract_all(html, '(?i)licen[sc]e')) AS markers, len(regexp_extract_all(html, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]+')) AS emails FROM pages")
+@query("AGG43", sql="SELECT page_id, len(regexp_extract_all(html, '<a ')) AS links, len(regexp_extract_all(html, '(?i)licen[sc]e')) AS markers, len(regexp_extract_all(html, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]+')) AS emails FROM pages")
 def page_metrics(t: Tables) -> DataFrame:
     n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
     return t.pages.select("page_id", n("<a ").alias("links"), n("(?i)licen[sc]e").alias("markers"), n(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+").alias("emails"))

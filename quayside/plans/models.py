@@ -56,7 +56,7 @@ def relative_dates(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.when(days == 0, "today").when(days == 1, "yesterday").when(days < 7, "week").otherwise("older").alias("bucket"))
 
 
-@query("SRC04", "SRC06", "SRC12", "RDM11", "RDM13", "RDM22", sql="SELECT p_partkey, p_name, coalesce(nullif(p_size % 3, 0), 1) AS depth FROM part WHERE p_partkey = 7")
+@query("SRC06", "RDM11", "RDM13", "RDM22", sql="SELECT p_partkey, p_name, coalesce(nullif(p_size % 3, 0), 1) AS depth FROM part WHERE p_partkey = 7")
 def point_lookup(t: Tables) -> DataFrame:
     """One row by key; the filter reaches the scan."""
     return t.part.where("p_partkey = 7").select("p_partkey", "p_name", F.coalesce(F.nullif(F.col("p_size") % 3, F.lit(0)), F.lit(1)).alias("depth"))
@@ -92,7 +92,7 @@ def site_report(t: Tables) -> DataFrame:
     return report(hits).select("host", *[F.when(F.col(x) != "", F.col(x)).alias(x) for x in ("high", "medium", "low")])
 
 
-@query("TXT11", "TXT17", sql="SELECT page_id, regexp_extract(html, '<title>([^<]{1,180})', 1) AS title, contains(lower(html), 'lang=\"fr\"') AS regional FROM pages")
+@query("TXT11", sql="SELECT page_id, regexp_extract(html, '<title>([^<]{1,180})', 1) AS title, contains(lower(html), 'lang=\"fr\"') AS regional FROM pages")
 def seller_names(t: Tables) -> DataFrame:
     """The name a page gives itself, and whether a region's mark stands in it."""
     return t.pages.select("page_id", F.regexp_extract("html", "<title>([^<]{1,180})", 1).alias("title"), F.contains(F.lower("html"), F.lit('lang="fr"')).alias("regional"))
@@ -147,7 +147,7 @@ def audit_rows(t: Tables) -> DataFrame:
     return t.events.select("event_id", "user_id", F.lit("event").alias("entity"), details.alias("details"))
 
 
-@query("RDM32", "RDM33", sql="SELECT 'lineitem' AS relation, count(*) AS orphans FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@query("RDM32", sql="SELECT 'lineitem' AS relation, count(*) AS orphans FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
 def integrity(t: Tables) -> DataFrame:
     """Rows that refer to nothing, by relation."""
     a = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").agg(F.count("*").alias("orphans"))
@@ -155,7 +155,7 @@ def integrity(t: Tables) -> DataFrame:
     return a.select(F.lit("lineitem").alias("relation"), "orphans").union(b.select(F.lit("orders").alias("relation"), "orphans"))
 
 
-@query("HLP05", "HLP16", "SRC28", "SRC29", sql="SELECT s_suppkey, upper(substr(trim(s_name), 1, 12)) AS name, CASE WHEN s_suppkey % 2 = 0 THEN s_name || ',' || s_name || '!' ELSE s_name END AS contacts FROM supplier")
+@query("HLP05", "HLP16", sql="SELECT s_suppkey, upper(substr(trim(s_name), 1, 12)) AS name, CASE WHEN s_suppkey % 2 = 0 THEN s_name || ',' || s_name || '!' ELSE s_name END AS contacts FROM supplier")
 def normalised_suppliers(t: Tables) -> DataFrame:
     """Inputs cut to length; contacts given as a list or as one string."""
     name = F.col("s_name")

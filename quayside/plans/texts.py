@@ -124,7 +124,7 @@ def page_texts(t: Tables) -> DataFrame:
     return t.pages.select("page_id", messages.visible_text(F.col("html")).alias("text"))
 
 
-@query("TXT25", "TXT26", "TXT36", "TXT37", "TXT39", "TXT40", "TXT44", "TXT45", "TXT48", "HLP14", "HLP18", "HLP19", "HLP21")
+@query("TXT25", "TXT26", "TXT36", "TXT37", "TXT39", "TXT40", "TXT44", "TXT45", "HLP18")
 def page_contacts(t: Tables) -> DataFrame:
     """Addresses and company numbers of pages by every way of publishing them, merged for each host."""
     pages = t.pages.select(host_of(F.col("url")).alias("host"), "url", "html")
@@ -186,7 +186,7 @@ def failed_recipients(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.explode(messages.failed_recipients(body)).alias("failed"))
 
 
-@query("TXT75", "TXT70", "TXT71", sql="SELECT conv_id, turn, trim(text, chr(32)) AS own FROM conversations WHERE NOT contains(text, '>')")
+@query("TXT75", sql="SELECT conv_id, turn, trim(text, chr(32)) AS own FROM conversations WHERE NOT contains(text, '>')")
 def own_text(t: Tables) -> DataFrame:
     return t.conversations.where(~F.contains("text", F.lit(">"))).select("conv_id", "turn", messages.without_quotes(F.col("text")).alias("own"))
 
