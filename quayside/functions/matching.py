@@ -84,6 +84,20 @@ def phones(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PHONE), F.lit(0)), phone))
 
 
+def has_region_phone(context: Column, region: Column, value: Column) -> Column:
+    """Whether the region's name stands up to 120 characters before the number's last four digits."""
+    tail = F.regexp_extract(F.regexp_replace(value, "[^0-9]", ""), "([0-9]{1,4})$", 1)
+    spread = F.array_join(F.filter(F.split(tail, ""), lambda d: d != ""), r"\D*")
+    name = F.lower(F.trim(F.coalesce(region, F.lit(""))))
+    pattern = F.concat(F.lit(r"(?Us)\b\Q"), name, F.lit(r"\E\b.{0,120}"), spread)
+    return F.when((name == "") | (tail == ""), False).otherwise(F.rlike(F.lower(context), pattern))
+
+
+def label_before(text: Column, start: Column, window: int = 40) -> Column:
+    """The characters before a place (counted from 0), lower case."""
+    return F.lower(F.substr(text, F.greatest(F.lit(1), start - window + 1).cast("int"), F.least(F.lit(window), start).cast("int")))
+
+
 def snippet(text: Column, value: Column, radius: int = 180) -> Column:
     """The text around a value's first place, blanks compacted; the start of the text if it is not there."""
     at = F.instr(F.lower(text), F.lower(value))

@@ -100,6 +100,9 @@ def test_matching(spark):
     assert [(r.status, r.reasons) for r in got] == [("qualified", []), ("unqualified", ["buyer_request", "no_public_seller_contact", "match_below_acceptable_threshold"])]
     assert values(spark, [("email", "false", "true"), ("phone", "true", "false")], matching.contact_confidence(F.col("c0"), F.col("c1").cast("boolean"), F.col("c2").cast("boolean"))) == [0.98, 0.2]
     assert values(spark, [("aaa bbb ccc", "BBB"), ("aaa", "zzz")], matching.snippet(F.col("c0"), F.col("c1"))) == ["aaa bbb ccc", "aaa"]
+    cases = [("москва, офис +7 495 111-22-33", "Москва", "+74951112233"), ("москвабад 22 33", "Москва", "+74951112233"), ("22-33 москва", "Москва", "2233"), ("x", None, "1"), ("a.b 1-2", "a.b", "12")]
+    assert values(spark, cases, matching.has_region_phone(F.col("c0"), F.col("c1"), F.col("c2"))) == [True, False, False, False, True]
+    assert values(spark, [("ABC tel 123", "8"), ("ABC", "0")], matching.label_before(F.col("c0"), F.col("c1").cast("int"), 4)) == ["tel ", ""]
     assert one(spark, matching.is_platform, ["a@flagma.ru", "a@site.ru"]) == [True, False]
 
 
