@@ -46,8 +46,19 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column], column
     return rows.groupBy(*keys).agg(best).select(*keys, "_best.*")
 
 
-def token_overlap(left: DataFrame, left_key: str, left_tokens: Column, right: DataFrame, right_key: str, right_tokens: Column) -> DataFrame:
-    """Pairs of keys that share a token, with the number of shared ones."""
-    a = left.select(F.col(left_key), F.explode(F.array_distinct(left_tokens)).alias("_token"))
-    b = right.select(F.col(right_key), F.explode(F.array_distinct(right_tokens)).alias("_token"))
-    return a.join(b, "_token").groupBy(left_key, right_key).agg(F.count("*").alias("shared"))
+def latest_overlap(rows: DataFrame, key: str, tokens: Column, other: str) -> DataFrame:
+    """For each row the latest other one (greatest key) that shares a token, and the number of tokens they share.
+
+    Each token is reduced to its two latest rows before the join, the second for the row that is the latest itself, so
+    a frequent token does not emit its pairs. Rows that share nothing are left out.
+    """
+    sets = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.array_distinct(tokens).alias("_tokens"))
+    each = sets.select("_key", F.explode("_tokens").alias("_token"))
+    first = each.groupBy("_token").agg(F.max("_key").alias("_first"))
+    second = each.join(first, "_token").where("_key < _first").groupBy("_token").agg(F.max("_key").alias("_second"))
+    latest = first.join(second, "_token")  # a token of one row alone matches nothing
+    met = each.join(latest, "_token").withColumn("_other", F.when(F.col("_key") < F.col("_first"), F.col("_first")).otherwise(F.col("_second")))
+    best = met.groupBy("_key").agg(F.max("_other").alias("_other"))
+    theirs = sets.select(F.col("_key").alias("_other"), F.col("_tokens").alias("_theirs"))
+    shared = F.size(F.array_intersect("_tokens", "_theirs")).cast("long")
+    return best.join(sets, "_key").join(theirs, "_other").select(F.col("_key").alias(key), F.col("_other").alias(other), shared.alias("shared"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quayside.functions.urls import host_of, root_domain, url_key
-from quayside.operators.joins import latest_per_key, suffix_anti_join, suffix_flag, token_overlap, with_marker
+from quayside.operators.joins import latest_overlap, latest_per_key, suffix_anti_join, suffix_flag, with_marker
 from quayside.plans.registry import Tables, query
 
 #: Domains of the block list in the demonstrations.
@@ -181,13 +181,14 @@ def suppressed_by_any(t: Tables) -> DataFrame:
     return one.union(two).union(s.where("s_acctbal < 0")).select("s_suppkey").distinct()
 
 
-@query("JOI22", "TXT68", sql="""
-    WITH tok AS (SELECT item_id, unnest(list_distinct(string_split(text, ' '))) AS token FROM benchmark), k AS (SELECT * FROM tok WHERE length(token) > 9)
-    SELECT a.item_id AS item_id, b.item_id AS other_id, count(*) AS shared FROM k a JOIN k b ON a.token = b.token GROUP BY 1, 2""")
+@query("JOI22", "TXT68", sql=r"""
+    WITH tok AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(text, '[\s\p{Z}\x0b\x1c-\x1f\x{85}]+'), lambda x: x <> '')) AS token FROM benchmark),
+    p AS (SELECT a.item_id AS item_id, b.item_id AS other_id, count(*) AS shared FROM tok a JOIN tok b ON a.token = b.token AND a.item_id <> b.item_id GROUP BY 1, 2)
+    SELECT item_id, max(other_id) AS other_id, max_by(shared, other_id) AS shared FROM p GROUP BY 1""")
 def token_overlap_pairs(t: Tables) -> DataFrame:
-    """Rows that share a token of a header-like list, by explode and equi join."""
-    tokens = F.filter(F.split("text", " "), lambda x: F.length(x) > 9)
-    return token_overlap(t.benchmark, "item_id", tokens, t.benchmark.select(F.col("item_id").alias("other_id"), "text"), "other_id", tokens)
+    """For each row the latest other one that shares a token of a header-like list."""
+    tokens = F.filter(F.split("text", r"(?U)[\s\x1c-\x1f]+"), lambda x: x != "")
+    return latest_overlap(t.benchmark, "item_id", tokens, "other_id")
 
 
 @query("JOI23", "JOI24", "JOI25", "SRT06", sql="""

@@ -112,3 +112,18 @@ def test_similarity_share(spark):
     got = {r.k: r.share for r in extraction.similarity_share(spark.createDataFrame(rows, "k int, i int, t string"), ["k"], "i", "t").collect()}
     assert difflib.SequenceMatcher(None, base, "nothing alike here").ratio() < 0.92
     assert got == {1: 1.0, 2: 0.5, 4: 1.0}
+
+
+def test_latest_overlap_against_a_loop(spark):
+    rng = random.Random(3)
+    rows = [(i, " \t".join(rng.choice(["a", "<x@y>", f"t{i % 9}", f"u{rng.randrange(40)}", "é"]) for _ in range(rng.randrange(4)))) for i in range(60)] + [(60, None), (61, "alone"), (62, "a\n\n  b ")]
+    seen = {i: set((t or "").split()) for i, t in rows}
+    want = []
+    for i in seen:
+        others = [j for j in seen if j != i and seen[i] & seen[j]]
+        want += [(i, max(others), len(seen[i] & seen[max(others)]))] if others else []
+    frame = spark.createDataFrame(rows, "item_id long, text string")
+    tables = type("T", (), {"benchmark": frame})
+    from quayside.plans.relational import token_overlap_pairs
+
+    assert sorted(tuple(r) for r in token_overlap_pairs(tables).collect()) == want
