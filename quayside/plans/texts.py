@@ -30,12 +30,12 @@ def similarity_texts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", messages.similarity_text(F.col("text")).alias("plain"))
 
 
-@query("TXT06", "TXT07", "TXT47", sql="SELECT p_partkey, unnest([p_name, 'buy ' || p_name, p_name || ' wholesale']) AS query FROM part WHERE p_size <= 5")
+@query("TXT06", "TXT07", "TXT47", sql="SELECT p_partkey, unnest([p_name, 'buy ' || p_name, p_name || ' wholesale']) AS query FROM part")
 def query_variants(t: Tables) -> DataFrame:
     """Exact, commercial and wholesale variants of a position."""
     name = F.col("p_name")
     variants = F.array_distinct(F.array(name, F.concat(F.lit("buy "), name), F.concat(name, F.lit(" wholesale"))))
-    return t.part.where("p_size <= 5").select("p_partkey", F.explode(variants).alias("query"))
+    return t.part.select("p_partkey", F.explode(variants).alias("query"))
 
 
 @query("TXT08", "SRC09", sql="SELECT p_partkey, len(list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9][a-z0-9().,/_+-]*'), lambda x: length(x) > 1))) AS tokens FROM part")
