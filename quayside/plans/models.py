@@ -98,12 +98,20 @@ def seller_names(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.regexp_extract("html", "<title>([^<]{1,180})", 1).alias("title"), F.contains(F.lower("html"), F.lit('lang="fr"')).alias("regional"))
 
 
-@query("TXT98", "TXT101", sql="SELECT item_id, 'https://s.example/find?q=' || replace(substr(text, 1, 4), ' ', '+') AS url, false AS buyer_only FROM benchmark WHERE regexp_matches(substr(text, 1, 4), '^[A-Za-z ]+$')")
+HAS_SQL = "len(list_filter({}, lambda w: contains(lower(coalesce(text, '')), w))) > 0"
+
+
+@query("TXT98", "TXT101", sql=f"""
+    SELECT item_id, 'https://s.example/find?q=' || replace(url_encode(coalesce(text, '')), '%20', '+') AS url,
+           {HAS_SQL.format(matching.BUYER_MARKERS)} AND NOT {HAS_SQL.format(matching.SELLER_MARKERS)} AS buyer_only FROM benchmark""")
 def search_urls(t: Tables) -> DataFrame:
-    low = F.lower("text")
+    """The address of a search for each text, and whether only a buyer's words stand in it."""
+    text = F.coalesce("text", F.lit(""))
+    low = F.lower(text)
     has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
-    rows = t.benchmark.where(F.substring("text", 1, 4).rlike("^[A-Za-z ]+$"))
-    return rows.select("item_id", F.concat(F.lit("https://s.example/find?q="), F.url_encode(F.substring("text", 1, 4))).alias("url"), (has(matching.BUYER_MARKERS) & ~has(matching.SELLER_MARKERS)).alias("buyer_only"))
+    # Spark leaves * and encodes ~, the other way round than the form encoding of the reference
+    encoded = F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    return t.benchmark.select("item_id", F.concat(F.lit("https://s.example/find?q="), encoded).alias("url"), (has(matching.BUYER_MARKERS) & ~has(matching.SELLER_MARKERS)).alias("buyer_only"))
 
 
 @query("TXT90", "TRN18", "TRN19", "TRN20", "TRN09", sql="SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND l.n IS NULL THEN 'failed_before_data' WHEN o_orderstatus = 'P' AND l.r > 0 THEN 'resolved' WHEN o_orderstatus = 'P' THEN 'unknown' ELSE 'unchanged' END AS resolution FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey")
