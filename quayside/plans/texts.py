@@ -186,9 +186,11 @@ def failed_recipients(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.explode(messages.failed_recipients(body)).alias("failed"))
 
 
-@query("TXT75", sql="SELECT conv_id, turn, trim(text, chr(32)) AS own FROM conversations WHERE NOT contains(text, '>')")
+@query("TXT75")
 def own_text(t: Tables) -> DataFrame:
-    return t.conversations.where(~F.contains("text", F.lit(">"))).select("conv_id", "turn", messages.without_quotes(F.col("text")).alias("own"))
+    """Each turn without what it quotes; one that is all quotation stays whole. Tested against a plain loop."""
+    own = messages.without_quotes(F.col("text"))
+    return t.conversations.select("conv_id", "turn", F.when(F.btrim(own, F.lit(" \t\r\n")) != "", own).otherwise(F.coalesce("text", F.lit(""))).alias("own"))
 
 
 @query("TXT74", sql="SELECT page_id, regexp_matches(html, '(?i)<img[^>]+src=[^>]*http') AS remote FROM pages")
