@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import give_back, small_batches, written
+from quayside.llm.common import give_back as trim, small_batches, written
 from quayside.llm.components import components
 from quayside.llm.simhash import forest, planes
 
@@ -40,6 +40,12 @@ _MIX = _random.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(
 _BAND = _random.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 
 
+def give_back() -> None:
+    """Arrow's pool keeps what it has freed; it goes back with the rest."""
+    pa.default_memory_pool().release_unused()
+    trim()
+
+
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
     words = (text or "").encode().lower().split()
@@ -202,7 +208,7 @@ def linked(filed: DataFrame, chunk: int, links: Callable[[pa.Array, int], list[t
             yield row(us, vs)
         if held:
             yield row(*block(held))
-        held = []
+        held = batch = None
         give_back()
 
     return dealt.mapInArrow(run, "u long, v long")
