@@ -4,9 +4,9 @@ The log-posterior of a language is the sum of: the text's tempered log-likelihoo
 the log-likelihood of the declared (markup) language; that of the address suffix; and the log-prior of the host.
 The trigram model is fitted on at most SAMPLE labelled rows a language, chosen by hash. Declaration and suffix
 likelihoods and host priors come from grouped counts over all rows, by the language that the text alone suggests;
-host priors are smoothed towards those of the suffix, these towards the whole. Hosts are joined, never collected;
-what the driver holds are the trigram table of the MOST_LANGUAGES most frequent labels, and up to MOST_VALUES
-declared values and suffixes each (rarer ones count as one value, "other").
+host priors are smoothed towards those of the suffix, these towards the whole. Hosts, declared values and suffixes are
+joined, never collected, and none is left out. Every label is a language; the driver and each worker hold the trigram
+table, 128 KB a language, and rows carry one number a language, so memory and time grow with the labels.
 
 A document is kept if its best language has a posterior of MIN_POSTERIOR or more and its text has letters.
 Defined results: a null or letterless text has no text evidence and is rejected; null declaration, host or address
@@ -33,7 +33,7 @@ SAMPLE, BUCKETS = 500, 1 << 14
 MIN_POSTERIOR = 0.5
 #: Neighbouring trigrams say much the same: a text counts as at most this many independent ones.
 EFFECTIVE = 60.0
-SMOOTHING, MOST_VALUES, MOST_LANGUAGES = 20.0, 200, 64
+SMOOTHING = 20.0
 
 LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -56,12 +56,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
     """(languages by name, log-probabilities by language and bucket) from columns label, text."""
     hashed = labelled.where("label is not null and text is not null").withColumn("h", F.xxhash64("text"))
     # a share of the hashes small enough to hold a little over the sample, so few texts move; copies count once
-    labels = hashed.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.col("n").desc(), "label").limit(MOST_LANGUAGES)
+    labels = hashed.groupBy("label").agg(F.approx_count_distinct("h").alias("n"))
     sizes = {r.label: r.n for r in labels.collect()}
     share = lambda n: int(min(1.0, 2.0 * sample / n) * 2**31)
-    limit = F.lit(0)
-    for label, n in sizes.items():
-        limit = F.when(F.col("label") == label, share(max(n, 1))).otherwise(limit)
+    if not sizes:
+        return [], np.zeros((0, BUCKETS))
+    limit = F.try_element_at(F.create_map(*[F.lit(x) for label, n in sizes.items() for x in (label, share(max(n, 1)))]), F.col("label"))
     few = hashed.where(F.pmod("h", F.lit(2**31)) < limit).groupBy("label", "h").agg(F.first("text").alias("text"))
     picked = few.withColumn("n", F.row_number().over(W.partitionBy("label").orderBy(F.pmod("h", F.lit(2**31)), "h"))).where(F.col("n") <= sample).select("label", "text")
 
@@ -77,9 +77,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
 
     found = picked.mapInArrow(run, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r.label for r in found})
+    place = {label: i for i, label in enumerate(languages)}
     counts = np.full((len(languages), BUCKETS), 0.5)
     for r in found:
-        counts[languages.index(r.label), r.bucket] += r.n
+        counts[place[r.label], r.bucket] += r.n
     return languages, np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
@@ -115,13 +116,6 @@ def suffix_of(host: Column) -> Column:
     return F.nullif(F.regexp_extract(host, r"\.([A-Za-z]{2,})$", 1), F.lit(""))
 
 
-def _looked_up(column: str, logs: dict[str, list[float]]) -> Column:
-    """Array of log-likelihoods of the column's value; null where it is null."""
-    pairs = [x for v, row in logs.items() for x in (F.lit(v), F.array(*map(F.lit, row)))]
-    found = F.create_map(*pairs)
-    return F.when(F.col(column).isNotNull(), F.coalesce(F.try_element_at(found, F.col(column)), found["other"]))
-
-
 def identify(docs: DataFrame, declared: Column | None = None, host: Column | None = None, address: Column | None = None, text: Column | None = None, label: Column | None = None, sample: int = SAMPLE, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
     """_row (the input row), language, posterior, kept.
 
@@ -148,8 +142,8 @@ def identify(docs: DataFrame, declared: Column | None = None, host: Column | Non
     guesses = rows.where(F.size("_ll") > 0).select("_host", "_suffix", "_declared", (F.array_position("_ll", F.array_max("_ll")) - 1).cast("int").alias("guess"))
     counted = guesses.groupBy("_host", "_suffix", "_declared", "guess").agg(F.count("*").alias("k"))
     spread = written(counted, "languages")
-    said = _weighted(spread, "_declared", n)
-    ends = _weighted(spread, "_suffix", n)
+    said, unsaid = _weighted(spread, "_declared", n)
+    ends, unended = _weighted(spread, "_suffix", n)
     whole = [1.0] * n
     for r in spread.groupBy("guess").agg(F.sum("k").alias("k")).collect():
         whole[r.guess] += r.k
@@ -161,10 +155,10 @@ def identify(docs: DataFrame, declared: Column | None = None, host: Column | Non
     prior = F.array(*[F.log(smooth(f"k{j}", "total", smooth(f"s{j}", "s_total", F.lit(whole[j])))) for j in range(n)])
     # a host has one suffix unless addresses disagree: then the first by name stands
     hosts = hosts.select("_host", F.coalesce("_suffix", F.lit("")).alias("suffix"), prior.alias("_prior")).groupBy("_host").agg(F.min_by("_prior", "suffix").alias("_prior"))
-    joined = rows.join(hosts, "_host", "left")
+    joined = rows.join(hosts, "_host", "left").join(said, "_declared", "left").join(ends, "_suffix", "left")
     base = F.coalesce(F.col("_prior"), F.array(*[F.lit(math.log(x)) for x in whole]))
     zero = F.array(*[F.lit(0.0)] * n)
-    parts = [base, F.when(F.size("_ll") > 0, F.col("_ll")).otherwise(zero), F.coalesce(_looked_up("_declared", said), zero), F.coalesce(_looked_up("_suffix", ends), zero)]
+    parts = [base, F.when(F.size("_ll") > 0, F.col("_ll")).otherwise(zero), _said("_declared", unsaid, zero), _said("_suffix", unended, zero)]
     total = F.array(*[sum((p[j] for p in parts[1:]), parts[0][j]) for j in range(n)])
     scored = joined.select("_row", "_ll", total.alias("_total")).withColumn("_top", F.array_max("_total"))
     posterior = 1 / F.aggregate("_total", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
@@ -177,16 +171,21 @@ def identify(docs: DataFrame, declared: Column | None = None, host: Column | Non
     )
 
 
-def _weighted(counted: DataFrame, column: str, n: int) -> dict[str, list[float]]:
-    """log P(value | language) of the most frequent values, from counts k by guess; rarer values are "other"."""
+def _weighted(counted: DataFrame, column: str, n: int) -> tuple[DataFrame, list[float]]:
+    """(table of each value of the column and its log P(value | language), the same of a value not met), from counts k by guess."""
     seen = counted.where(F.col(column).isNotNull())
-    top = [r[0] for r in seen.groupBy(column).agg(F.sum("k").alias("k")).orderBy(F.col("k").desc(), column).limit(MOST_VALUES).collect()]
-    value = F.when(F.col(column).isin(top), F.col(column)).otherwise("other") if top else F.lit("other")
-    counts: dict[str, list[float]] = {v: [1.0] * n for v in [*top, "other"]}
-    for r in seen.groupBy(value.alias("value"), "guess").agg(F.sum("k").alias("k")).collect():
-        counts[r.value][r.guess] += r.k
-    total = [sum(c[j] for c in counts.values()) for j in range(n)]
-    return {v: [math.log(c[j] / total[j]) for j in range(n)] for v, c in counts.items()}
+    values = seen.select(F.count_distinct(column)).first()[0]
+    total = [values + 1.0] * n  # each value, and one for all that were not met, counts one more than seen
+    for r in seen.groupBy("guess").agg(F.sum("k").alias("k")).collect():
+        total[r.guess] += r.k
+    found = seen.groupBy(column).agg(*[F.sum(F.when(F.col("guess") == j, F.col("k")).otherwise(0)).alias(f"k{j}") for j in range(n)])
+    logs = F.array(*[F.log((F.col(f"k{j}") + 1.0) / F.lit(total[j])) for j in range(n)])
+    return found.select(column, logs.alias(f"{column}_logs")), [-math.log(x) for x in total]
+
+
+def _said(column: str, unmet: list[float], zero: Column) -> Column:
+    """The value's log-likelihoods; none of them counts where it is null."""
+    return F.when(F.col(column).isNull(), zero).otherwise(F.coalesce(F.col(f"{column}_logs"), F.array(*map(F.lit, unmet))))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
