@@ -88,7 +88,7 @@ def group_flag(t: Tables) -> DataFrame:
     return t.supplier.join(flagged, "s_nationkey", "left").select("s_suppkey", F.coalesce("hit", F.lit(False)).alias("irrelevant"))
 
 
-@query("UPS20", "TXT91", "TXT93", sql="SELECT coalesce(m.canonical, l_suppkey) AS l_suppkey, count(*) AS n FROM lineitem LEFT JOIN (SELECT s_suppkey, arg_max(s_suppkey, s_acctbal * 1000000 - s_suppkey) OVER (PARTITION BY s_nationkey) AS canonical FROM supplier) m ON m.s_suppkey = l_suppkey GROUP BY 1")
+@query("UPS20", "TXT93", sql="SELECT coalesce(m.canonical, l_suppkey) AS l_suppkey, count(*) AS n FROM lineitem LEFT JOIN (SELECT s_suppkey, arg_max(s_suppkey, s_acctbal * 1000000 - s_suppkey) OVER (PARTITION BY s_nationkey) AS canonical FROM supplier) m ON m.s_suppkey = l_suppkey GROUP BY 1")
 def duplicate_merge(t: Tables) -> DataFrame:
     """Duplicates of a group re-keyed to the one of greatest balance, in a relation that refers to them."""
     best = t.supplier.groupBy("s_nationkey").agg(F.max_by("s_suppkey", F.struct("s_acctbal", -F.col("s_suppkey"))).alias("canonical"))

@@ -319,7 +319,7 @@ def url_dedup(t: Tables) -> DataFrame:
     return first.select("r.page_id", "r.pos")
 
 
-@query("SET11", "SET14", "SET15", "TXT02", sql=f"""
+@query("SET11", "TXT02", sql=f"""
     SELECT root, count(*) AS pages, count(DISTINCT host) AS hosts, min(page_id) AS first_page
     FROM (SELECT page_id, host, regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS root FROM (SELECT page_id, {HOST_SQL} AS host FROM pages)) GROUP BY 1""")
 def root_domains(t: Tables) -> DataFrame:

@@ -30,7 +30,7 @@ def similarity_texts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", messages.similarity_text(F.col("text")).alias("plain"))
 
 
-@query("TXT06", "TXT07", "TXT47", sql="SELECT p_partkey, unnest([p_name, 'buy ' || p_name, p_name || ' wholesale']) AS query FROM part")
+@query("TXT07", "TXT47", sql="SELECT p_partkey, unnest([p_name, 'buy ' || p_name, p_name || ' wholesale']) AS query FROM part")
 def query_variants(t: Tables) -> DataFrame:
     """Exact, commercial and wholesale variants of a position."""
     name = F.col("p_name")
@@ -131,7 +131,7 @@ def page_contacts(t: Tables) -> DataFrame:
     return extraction.by_site(extraction.from_pages(pages))
 
 
-@query("TXT49", "TXT51", "TXT60", "TXT61", "HLP09", "HLP10", sql=f"""
+@query("TXT49", "TXT51", "TXT60", "HLP09", "HLP10", sql=f"""
     WITH h AS (SELECT page_id, {HOST_SQL} AS host FROM pages), r AS (SELECT *, regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS root FROM h)
     SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'site' WHEN page_id % 4 = 1 THEN 'email' WHEN page_id % 4 = 2 AND root NOT IN ('mail.ru') THEN 'domain' ELSE 'none' END AS evidence FROM r""")
 def ownership_evidence(t: Tables) -> DataFrame:
