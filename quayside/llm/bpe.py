@@ -1,11 +1,10 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-Every Arrow batch is a small corpus: its texts are cut into stretches that begin at a single space,
-the stretches not met before are cut into pre-tokens by the pattern, and the distinct new pre-tokens
-are encoded together. For that an inverted index maps each mergeable pair to the positions where it
-stands; the pairs are replayed in rank order, and a merge updates only its two neighbours' entries.
-Ids of a stretch are kept as packed bytes, so a document is a join of look-ups. The kept table has a
-fixed limit of entries and is emptied beyond it, which changes no result.
+The distinct pre-tokens of all documents are found by a grouped aggregation, which deals them to shards by hash, and
+each is encoded once for the whole corpus. In a shard an inverted index maps each mergeable pair to the
+positions in its words where it stands; the pairs are replayed in rank order, and a merge updates only its two
+neighbours' entries. The ids of the frequent pre-tokens are broadcast (a bounded table); those of the others are
+joined by pre-token and meet their document's text, compressed, in one shuffle. A document is then a join of look-ups.
 
 Defined results: a null text is the empty text (no tokens, digests of nothing); texts of any length
 are taken whole; repeated rows and repeated or null ids each give their own row; an empty table gives
@@ -15,30 +14,25 @@ no rows; further columns are ignored.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import heapq
-import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quayside.llm.common import give_back, small_batches, table
+from quayside.llm.pretokens import CROSSING, HOT, KEPT, Cutter, frequent, lexicon
 
-KEPT = 200_000
-#: New pre-tokens that are replayed together.
+#: Pre-tokens that are replayed together.
 TOGETHER = 20_000
 #: Merges up to this rank stand at many places at once and are replayed as arrays, later ones place by place.
 COMMON = 1500
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: White space on both sides of a space: there a pre-token may cross the space.
-CROSSING = regex.compile(r"\s (?:\s|\Z)")
-#: A stretch that is one pre-token of letters, perhaps with one mark behind it.
-PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)").fullmatch
 
 
 def read_file(path: str) -> bytes:
@@ -296,101 +290,129 @@ def replay_all(words: list[bytes], merges: Merges) -> list[bytes]:
 
 
 class Encoder:
-    """Encodes texts batch by batch; ids come as bytes, little-endian unsigned 32-bit each."""
-
-    def __init__(self, merges: Merges, pattern: str, kept: int = KEPT):
-        self.merges, self.find, self.kept = merges, regex.compile(pattern).findall, kept
-        self.words: dict[str, bytes] = {"": b""}
-        self.stretches: dict[str, bytes] = {}
-        self.pieces = {v: k for k, v in merges.ranks.items()}
-
-    def learn(self, stretches: Iterable[str]) -> None:
-        found = {x: (m[1], m[2]) if (m := PLAIN(x)) else self.find(x) for x in stretches}
-        self.learn_words({w for ws in found.values() for w in ws})
-        for x, ws in found.items():
-            self.stretches[x] = b"".join([self.words[w] for w in ws])
-
-    def learn_words(self, words: Iterable[str]) -> None:
-        new = sorted(w for w in set(words) if w not in self.words)
-        for a in range(0, len(new), TOGETHER):
-            part = new[a : a + TOGETHER]
-            self.words.update(zip(part, replay_all([w.encode() for w in part], self.merges), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.stretches) > self.kept or len(self.words) > self.kept:
-            self.stretches, self.words = {}, {"": b""}
-        plain = []
-        heads: set[str] = set()
-        tails: set[str] = set()
-        for text in texts:
-            if CROSSING.search(text):
-                plain.append(None)
-            else:
-                parts = text.split(" ")
-                heads.add(parts[0])
-                plain.append(parts)
-                tails.update(parts[1:])
-        led = {" " + x for x in tails}
-        self.learn([x for x in heads | led if x not in self.stretches])
-        out = []
-        look = self.stretches
-        follow = {x: look[" " + x] for x in tails}
-        for text, parts in zip(texts, plain, strict=True):
-            if parts is None:
-                words = self.find(text)
-                self.learn_words(words)
-                out.append(b"".join([self.words[w] for w in words]))
-            else:
-                out.append(look[parts[0]] + b"".join(map(follow.__getitem__, parts[1:])))
+    """Ids of texts from ids of pre-tokens: the frequent ones are given, the others come with each text."""
+
+    def __init__(self, hot: dict[str, bytes], cutter: Cutter, kept: int = KEPT):
+        self.hot, self.cutter, self.kept = hot, cutter, kept
+        self.tails: dict[str, bytes] = {}
+
+    def words(self, words: list[str], rare: dict[str, bytes]) -> bytes:
+        hot = self.hot
+        return b"".join([hot[w] if w in hot else rare[w] for w in words])
+
+    def encode(self, text: str, rare: dict[str, bytes]) -> bytes:
+        """Packed ids, little-endian unsigned 32-bit each; rare has the pre-tokens that are not frequent."""
+        if CROSSING.search(text):
+            return self.words(self.cutter.find(text), rare)
+        head, *rest = text.split(" ")
+        if len(self.tails) > self.kept:
+            self.tails = {}
+        tails, find = self.tails, self.cutter.find
+        out = [self.words(find(head), rare)]
+        for x in rest:
+            found = tails.get(x)
+            if found is None:
+                found = tails[x] = self.words(find(" " + x), rare)
+            out.append(found)
+        return b"".join(out)
+
+    def unknown(self, text: str, cache: dict[str, tuple[str, ...]]) -> set[str]:
+        """The distinct pre-tokens of a text that are not frequent."""
+        hot, find = self.hot, self.cutter.find
+        if CROSSING.search(text):
+            return {w for w in find(text) if w not in hot}
+        head, *rest = text.split(" ")
+        out = {w for w in find(head) if w not in hot}
+        for x in set(rest):
+            found = cache.get(x)
+            if found is None:
+                found = cache[x] = tuple([w for w in find(" " + x) if w not in hot])
+            if found:
+                out.update(found)
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
-
 
-def groups(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) in groups of about `most` characters; a longer text is a group of its own."""
-    first, held, size = 0, [], 0
-    for i, text in enumerate(texts):
-        text = text or ""
-        if held and size + len(text) > most:
-            yield first, held
-            first, held, size = i, [], 0
-        held.append(text)
-        size += len(text)
-    if held:
-        yield first, held
+def replayed(words: list[str], merges: Merges) -> list[bytes]:
+    """The packed ids of distinct words, TOGETHER at a time."""
+    out: list[bytes] = []
+    for a in range(0, len(words), TOGETHER):
+        out += replay_all([w.encode() for w in words[a : a + TOGETHER]], merges)
+    return out
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_tokens, digests of the ids and of the decoded bytes, and the ids if asked for."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     # the vocabulary's file has a fixed size; what is built from it lives in a task only, not in the worker
-    ranks = docs.sparkSession.sparkContext.broadcast(read_file(vocabulary))
+    ranks = spark.sparkContext.broadcast(read_file(vocabulary))
+    cutter = lambda: Cutter(pattern)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # millions of strings are held, none in cycles
-        encoder = Encoder(Merges(parse_ranks(ranks.value)), pattern)
+    def valued():
+        merges = Merges(parse_ranks(ranks.value))
+        return lambda words: replayed(words, merges)
+
+    words = lexicon(docs, cutter, valued, "binary", text_column)
+    known = spark.sparkContext.broadcast(frequent(words, hot))  # at most `hot` short words
+    text = F.col(text_column)
+    chosen = docs.select(F.xxhash64(F.col(id_column).cast("long"), text).alias("key"), F.col(id_column).cast("long").alias("doc_id"), text.alias("text"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, cache = Encoder(known.value, cutter()), {}
+        for batch in batches:
+            keys, rare = batch.column(0).to_pylist(), []
+            for x in batch.column(1):
+                rare.append(list(encoder.unknown(x.as_py() or "", cache)))
+                if len(cache) > KEPT:
+                    cache.clear()
+            whose = pa.array(np.repeat(np.array(keys, dtype=np.int64), np.fromiter(map(len, rare), dtype=np.int64, count=len(rare))))
+            yield pa.RecordBatch.from_arrays([whose, pa.array([w for ws in rare for w in ws], pa.string())], ["key", "word"])
+        encoder = cache = None
+        give_back()
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            texts = [press((x.as_py() or "").encode()) for x in batch.column(2)]
+            n = len(texts)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.ones(n, dtype=np.int32)), batch.column(1), pa.nulls(n, pa.string()), pa.array(texts, pa.binary())],
+                ["key", "kind", "doc_id", "word", "value"],
+            )
+
+    asked = chosen.select("key", "text").mapInArrow(ask, "key long, word string")
+    answers = asked.join(words.select("word", "value"), "word").select("key", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "word", "value")
+    squeezed = chosen.mapInArrow(squeeze, "key long, kind int, doc_id long, word string, value binary")
+    # of each document first the ids of its rare words, then its text
+    met = answers.union(squeezed).repartition("key").sortWithinPartitions("key", "kind")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(known.value, cutter())
+        pieces = {v: k for k, v in parse_ranks(ranks.value).items()}
+        decode_one = pieces.__getitem__
+        expand = zstandard.ZstdDecompressor().decompress
+        key, rare = None, {}
         for batch in batches:
-            ids = batch.column(0)
-            for first, texts in groups(batch.column(1).to_pylist()):
-                packed = encoder.encode(texts)
-                columns = [
-                    ids.slice(first, len(texts)),
-                    pa.array([len(x) // 4 for x in packed], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in packed]),
-                    pa.array([hashlib.sha256(encoder.decode(x)).hexdigest() for x in packed]),
-                ]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    columns.append(pa.array([np.frombuffer(x, dtype="<u4").tolist() for x in packed], pa.list_(pa.int64())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
-        encoder = None
+            rows: list[tuple] = []
+            for k, kind, doc_id, word, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    key, rare = k, {}
+                if kind == 0:
+                    rare[word] = value
+                    continue
+                packed = encoder.encode(expand(value).decode(), rare)
+                ids = np.frombuffer(packed, dtype="<u4").tolist()
+                back = b"".join(map(decode_one, ids))
+                rows.append((doc_id, len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(back).hexdigest(), ids if with_ids else None))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()))
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+            n = 4 + with_ids
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:n], kinds[:n], strict=True)], names[:n])
+        encoder = pieces = decode_one = None
         give_back()
 
-    chosen = docs.selectExpr(f"cast(`{id_column}` as long) as doc_id", f"`{text_column}` as text")
-    return chosen.mapInArrow(run, SCHEMA + ", ids array<long>" * with_ids)
+    return met.mapInArrow(finish, SCHEMA + ", ids array<long>" * with_ids)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:

@@ -1,35 +1,34 @@
 """Token counts: pieces are counted once per distinct pre-token and summed over its frequencies.
 
-Every Arrow batch of documents is one shard: a document becomes frequencies of stretches (a pre-token
-with the punctuation up to the next space), the shard's distinct stretches not met before are cut into
-distinct pre-tokens, each of these is counted once by the library's merges, and the counts are joined to the
-documents' frequencies and summed. No ids are built for documents. Counts met before are kept up to a
-fixed number of entries.
-
-The join stays inside the shard: most documents have hundreds of distinct pre-tokens, so sending
-(document, pre-token, frequency) rows through a shuffle would move about the size of the input again.
+The distinct pre-tokens of all documents are found by a grouped aggregation and each is counted once by the library's
+merges. The counts of the frequent ones are broadcast (a bounded table) and summed where a document is read; a
+document's other pre-tokens go on as rows (document, pre-token, frequency), are joined to the counts by pre-token and
+summed by document. Ids are not built for documents. Special strings in a text count one each and divide it.
 
 Defined results: a null text is empty (0 bytes, 0 tokens); texts are whole whatever their length;
-repeated rows give a row each; an empty table gives no rows; further columns are ignored.
+repeated rows give a row each; an empty table gives no rows; further columns are ignored. A tokenizer that
+is not byte-level, or normalizes texts, raises an error, since its pre-tokens depend on the text around them.
 """
 
 from __future__ import annotations
 
-import gc
 import json
+import os
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quayside.llm.bpe import CROSSING, KEPT, groups
-from quayside.llm.common import give_back, small_batches, table
+from quayside.llm.common import give_back, table, written
+from quayside.llm.pretokens import HOT, KEPT, Cutter, frequent, lexicon
 
 #: Fixed value: the pattern of the library's byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
 def ranked(definition: dict) -> tiktoken.Encoding | None:
@@ -58,84 +57,98 @@ def ranked(definition: dict) -> tiktoken.Encoding | None:
     return tiktoken.Encoding("counts", pat_str=PATTERN, mergeable_ranks={bytes(letters[c] for c in x): i for x, i in pieces.items()}, special_tokens={})
 
 
-class Counts:
-    def __init__(self, definition: str, kept: int = KEPT):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kept = kept
-        self.ranked = ranked(json.loads(definition))
-        self.known: dict[str, int] = {}
-
-    def pieces(self, stretches: list[str]) -> list[int]:
-        if self.ranked:
-            encode = self.ranked.encode_ordinary
-            return [len(encode(x)) for x in stretches]
-        found = []
-        for a in range(0, len(stretches), 50_000):
-            found += map(len, self.tokenizer.encode_batch_fast(stretches[a : a + 50_000], add_special_tokens=False))
-        return found
-
-    def count(self, texts: list[str]) -> list[int]:
-        """The library's number of tokens of each text."""
-        if len(self.known) > self.kept:
-            self.known = {}
-        tables: list[tuple[str, Counter] | None] = []
-        needed: set[str] = set()
-        for text in texts:
-            if CROSSING.search(text) or any(x in text for x in self.added):
-                # a pre-token may cross a space here, or a special string stands in the text: one stretch
-                tables.append((text, Counter()))
-                continue
-            head, *rest = text.split(" ")
-            tables.append((head, table_ := Counter(rest)))
-            needed.add(head)
-            needed.update([" " + x for x in table_])
-        wanted = sorted(x for x in needed if x not in self.known)
-        self.known.update(zip(wanted, self.pieces(wanted), strict=True))
-        known = self.known
-        out = []
-        for text, (head, frequencies) in zip(texts, tables, strict=True):
-            if head in known:
-                n = known[head]
-            else:
-                n = len(self.tokenizer.encode(head, add_special_tokens=False))
-            out.append(n + sum([known[" " + x] * f for x, f in frequencies.items()]))
-        return out
-
-
-def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def counter(definition: str):
+    """A function from distinct pre-tokens to the library's number of pieces of each."""
+    merges = ranked(json.loads(definition))
+    if merges is not None:
+        encode = merges.encode_ordinary
+        return lambda words: [len(encode(w)) for w in words]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    tokenizer = plain(definition)
+    return lambda words: list(map(len, tokenizer.encode_batch_fast(words, add_special_tokens=False)))
+
+
+def plain(definition: str):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(definition)
+    tokenizer.no_padding()
+    tokenizer.no_truncation()
+    return tokenizer
+
+
+def specials(definition: str) -> tuple[str, ...]:
+    """The strings that the library takes out of a text before it cuts it; each is one token."""
+    cut = json.loads(definition)
+    step = cut.get("pre_tokenizer") or {}
+    if cut.get("normalizer") or step.get("type") != "ByteLevel" or step.get("add_prefix_space") or not step.get("use_regex", True):
+        raise ValueError("only byte-level pre-tokenizers without a normalizer give the same pre-tokens in every text")
+    added = cut.get("added_tokens", [])
+    if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in added):
+        raise ValueError("special strings that depend on their neighbours are not supported")
+    return tuple(x["content"] for x in added)
+
+
+def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and whether the tokens are over the limit."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as file:
-        definition = docs.sparkSession.sparkContext.broadcast(file.read())  # a vocabulary, of fixed size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+        text = file.read()
+    definition = spark.sparkContext.broadcast(text)  # a vocabulary, of fixed size
+    apart = specials(text)
+    cutter = lambda: Cutter(PATTERN, apart)
+    words = lexicon(docs, cutter, lambda: counter(definition.value), "long", text_column)
+    known = spark.sparkContext.broadcast(frequent(words, hot))  # at most `hot` short words
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each document's tokens in frequent pre-tokens, and the frequencies of all others."""
+        cut, counts, kept = cutter(), known.value, {}
+        row = TaskContext.get().partitionId() << 40
+
+        def learn(x: str) -> tuple[int, tuple[str, ...]]:
+            found = cut.find(" " + x)
+            return sum([counts.get(w, 0) for w in found]), tuple([w for w in found if w not in counts])
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        gc.disable()  # millions of strings are held, none in cycles
-        counts = Counts(definition.value)
         for batch in batches:
-            for first, texts in groups(batch.column(1).to_pylist()):
-                found = counts.count(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, len(texts)),
-                        pa.array([len(x.encode()) for x in texts], pa.int64()),
-                        pa.array(found, pa.int64()),
-                        pa.array([n > limit for n in found]),
-                    ],
-                    ["doc_id", "n_bytes", "n_tokens", "over_limit"],
-                )
-        counts = None
+            columns: list[list] = [[], [], [], []]
+            for x in batch.column(1):
+                text = x.as_py() or ""
+                parts, n = cut.parts(text)
+                tails: Counter = Counter()
+                rest: Counter = Counter()
+                for part in parts:
+                    cut.add(part, tails, rest)
+                rare: Counter = Counter()
+                for w, f in rest.items():
+                    if w in counts:
+                        n += counts[w] * f
+                    else:
+                        rare[w] += f
+                for t, f in tails.items():
+                    found = kept.get(t)
+                    if found is None:
+                        found = kept[t] = learn(t)
+                    n += found[0] * f
+                    for w in found[1]:
+                        rare[w] += f
+                if len(kept) > KEPT:
+                    kept.clear()
+                for column, value in zip(columns, (len(text.encode()), n, list(rare), list(rare.values())), strict=True):
+                    column.append(value)
+            size = batch.num_rows
+            rows = pa.array(np.arange(row, row + size))
+            row += size
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows, batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["row", "doc_id", "n_bytes", "n", "words", "times"])
+        cut = counts = kept = None
         give_back()
 
-    chosen = docs.selectExpr(f"cast(`{id_column}` as long) as doc_id", f"`{text_column}` as text")
-    return chosen.mapInArrow(run, SCHEMA)
+    chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    partly = written(chosen.mapInArrow(tally, "row long, doc_id long, n_bytes long, n long, words array<string>, times array<long>"), "tallies")
+    asked = partly.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    more = asked.join(words.select("word", "value"), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("more"))
+    whole = F.col("n") + F.coalesce("more", F.lit(0))
+    return partly.select("row", "doc_id", "n_bytes", "n").join(more, "row", "left").select("doc_id", "n_bytes", whole.alias("n_tokens"), (whole > limit).alias("over_limit"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

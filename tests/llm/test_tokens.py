@@ -8,8 +8,10 @@ import public_tokenizers as P
 import tiktoken
 from tokenizers import Tokenizer
 
-from quayside.llm.bpe import Encoder, Merges, decode, encode, load_ranks, replay, replay_all
-from quayside.llm.token_counts import Counts, token_counts
+import pytest
+
+from quayside.llm.bpe import Merges, decode, encode, load_ranks, replay, replay_all
+from quayside.llm.token_counts import ranked, specials, token_counts
 
 PARTS = [" ", "  ", "\n", " \n", "a", "the", "é", "\t", "12", "!!", "'s", "　", "\xa0", "\x1c", "ß", "你好", "🙂", "<|endoftext|>", ".", "aaaa", "_", "İ", "\x85", "'S"]
 RANKS = load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
@@ -21,9 +23,23 @@ def texts():
     return ["".join(rng.choice(PARTS) for _ in range(rng.randrange(40))) for _ in range(1500)] + ["", " ", "x" * 3000, "word " * 3000]
 
 
-def test_encoder_matches_library():
-    found = Encoder(Merges(RANKS), P.PATTERN).encode(texts())
-    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [LIBRARY.encode_ordinary(x) for x in texts()]
+@pytest.mark.parametrize("hot", [0, 40, 1 << 17])
+def test_encoded_tables_match_library(spark, hot):
+    """With no, some or all pre-tokens broadcast, repeated rows and clashing columns included."""
+    rows = list(enumerate(texts())) + [(0, texts()[0])]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, word int").repartition(5)
+    got = sorted((r.doc_id, r.ids) for r in encode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, with_ids=True, hot=hot).collect())
+    assert got == sorted((i, LIBRARY.encode_ordinary(x)) for i, x in rows)
+
+
+@pytest.mark.parametrize("hot", [0, 40, 1 << 17])
+def test_counts_match_library(spark, hot):
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = list(enumerate(texts())) + [(0, texts()[0])]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row int").repartition(5)
+    got = sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts(docs, P.path("byte_bpe_50k.json"), hot=hot).collect())
+    assert got == sorted((i, len(x.encode()), len(library.encode(x, add_special_tokens=False))) for i, x in rows)
+    assert token_counts(docs.limit(0), P.path("byte_bpe_50k.json")).count() == 0
 
 
 def test_lower_rank_that_comes_up_late_is_merged_first():
@@ -54,16 +70,13 @@ def test_encode_table(spark):
     assert encode(docs.limit(0), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
 
 
-def test_counts_match_library():
-    definition = open(P.path("byte_bpe_50k.json")).read()
-    counts, library = Counts(definition), Tokenizer.from_str(definition)
-    assert counts.ranked is not None
-    want = [len(x) for x in library.encode_batch(texts(), add_special_tokens=False)]
-    assert counts.count(texts()) == want
-    counts.ranked, counts.known = None, {}
-    assert counts.count(texts()) == want
-    other = open(P.path("word_bpe_49k.json")).read()
-    assert Counts(other).ranked is None
+def test_merges_in_order_of_rank_only():
+    import json
+
+    assert ranked(json.load(open(P.path("byte_bpe_50k.json")))) is not None
+    assert ranked(json.load(open(P.path("word_bpe_49k.json")))) is None
+    with pytest.raises(ValueError):
+        specials(open(P.path("word_bpe_49k.json")).read())
 
 
 def test_count_table(spark):
