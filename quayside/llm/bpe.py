@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The distinct pre-tokens of all documents are found by a grouped aggregation, which deals them to shards by hash, and
-each is encoded once for the whole corpus. In a shard an inverted index maps each mergeable pair to the
-positions in its words where it stands; the pairs are replayed in rank order, and a merge updates only its two
-neighbours' entries. The ids of the frequent pre-tokens are broadcast (a bounded table); those of the others are
-joined by pre-token and meet their document's text, compressed, in one shuffle. A document is then a join of look-ups.
+The pre-tokens of all documents are dealt to shards by hash, and each distinct one is encoded once for the whole corpus:
+in a shard an inverted index maps each mergeable pair to the positions in its words where it stands; the pairs are
+replayed in rank order, and a merge updates only its two neighbours' entries. The frequent pre-tokens, found by a
+grouped aggregation, are replayed first and their ids broadcast (a bounded table). Of the others each document asks for
+those it has, and their ids meet its text, compressed, in one shuffle. A document is then a join of look-ups.
 
 Defined results: a null text is the empty text (no tokens, digests of nothing); texts of any length
 are taken whole; repeated rows and repeated or null ids each give their own row; an empty table gives
@@ -25,13 +25,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import give_back, small_batches, table
-from quayside.llm.pretokens import CROSSING, HOT, KEPT, Cutter, frequent, lexicon
+from quayside.llm.common import give_back, small_batches, table, written
+from quayside.llm.pretokens import CROSSING, HOT, KEPT, Cutter, counted, frequent, table_of
 
 #: Pre-tokens that are replayed together.
 TOGETHER = 20_000
 #: Merges up to this rank stand at many places at once and are replayed as arrays, later ones place by place.
 COMMON = 1500
+#: Pre-tokens that a table of a task proposes as frequent.
+LEADING = 1 << 16
+#: The low half of a document's own place, behind its answers.
+TEXT = (1 << 31) - 1
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -293,44 +297,50 @@ class Encoder:
     """Ids of texts from ids of pre-tokens: the frequent ones are given, the others come with each text."""
 
     def __init__(self, hot: dict[str, bytes], cutter: Cutter, kept: int = KEPT):
-        self.hot, self.cutter, self.kept = hot, cutter, kept
-        self.tails: dict[str, bytes] = {}
-
-    def words(self, words: list[str], rare: dict[str, bytes]) -> bytes:
-        hot = self.hot
-        return b"".join([hot[w] if w in hot else rare[w] for w in words])
+        self.hot, self.find, self.kept = hot, cutter.find, kept
+        self.tails: dict[str, tuple] = {}
+
+    def cut(self, words: list[str]) -> tuple:
+        """The words' ids, with the words that are not frequent in their places."""
+        hot, out, run = self.hot, [], b""
+        for w in words:
+            found = hot.get(w)
+            if found is None:
+                if run:
+                    out.append(run)
+                out.append(w)
+                run = b""
+            else:
+                run += found
+        if run:
+            out.append(run)
+        return tuple(out)
 
-    def encode(self, text: str, rare: dict[str, bytes]) -> bytes:
-        """Packed ids, little-endian unsigned 32-bit each; rare has the pre-tokens that are not frequent."""
+    def parts(self, text: str) -> list:
+        """A text as runs of packed ids (bytes) and pre-tokens that are not frequent (str)."""
         if CROSSING.search(text):
-            return self.words(self.cutter.find(text), rare)
+            return list(self.cut(self.find(text)))
         head, *rest = text.split(" ")
         if len(self.tails) > self.kept:
             self.tails = {}
-        tails, find = self.tails, self.cutter.find
-        out = [self.words(find(head), rare)]
+        tails, out = self.tails, list(self.cut(self.find(head)))
         for x in rest:
             found = tails.get(x)
             if found is None:
-                found = tails[x] = self.words(find(" " + x), rare)
-            out.append(found)
-        return b"".join(out)
-
-    def unknown(self, text: str, cache: dict[str, tuple[str, ...]]) -> set[str]:
-        """The distinct pre-tokens of a text that are not frequent."""
-        hot, find = self.hot, self.cutter.find
-        if CROSSING.search(text):
-            return {w for w in find(text) if w not in hot}
-        head, *rest = text.split(" ")
-        out = {w for w in find(head) if w not in hot}
-        for x in set(rest):
-            found = cache.get(x)
-            if found is None:
-                found = cache[x] = tuple([w for w in find(" " + x) if w not in hot])
-            if found:
-                out.update(found)
+                found = tails[x] = self.cut(self.find(" " + x))
+            out += found
         return out
 
+    def unknown(self, text: str) -> list[str]:
+        """The distinct pre-tokens of a text that are not frequent, in order of first occurrence."""
+        return list(dict.fromkeys([x for x in self.parts(text) if type(x) is str]))
+
+    def encode(self, text: str, answers: list[bytes]) -> bytes:
+        """Packed ids, little-endian unsigned 32-bit each, from the answers to unknown(text)."""
+        parts = self.parts(text)
+        rare = dict(zip(dict.fromkeys([x for x in parts if type(x) is str]), answers, strict=True))
+        return b"".join([rare[x] if type(x) is str else x for x in parts])
+
 
 def replayed(words: list[str], merges: Merges) -> list[bytes]:
     """The packed ids of distinct words, TOGETHER at a time."""
@@ -352,55 +362,81 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc
         merges = Merges(parse_ranks(ranks.value))
         return lambda words: replayed(words, merges)
 
-    words = lexicon(docs, cutter, valued, "binary", text_column)
-    known = spark.sparkContext.broadcast(frequent(words, hot))  # at most `hot` short words
+    # what is frequent in a task's texts; the counts of all tasks together name the frequent ones of the table
+    leading = written(counted(docs, cutter, text_column, leading=LEADING), "leading")
+
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value_of = valued()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value_of(batch.column(0).to_pylist()), pa.binary())], ["word", "value"])
+        value_of = None
+        give_back()
+
+    known = spark.sparkContext.broadcast(table_of(frequent(leading, hot).select("word").repartition("word").mapInArrow(value, "word string, value binary")))
     text = F.col(text_column)
-    chosen = docs.select(F.xxhash64(F.col(id_column).cast("long"), text).alias("key"), F.col(id_column).cast("long").alias("doc_id"), text.alias("text"))
+    pos = F.shiftleft(F.hash(text).cast("long"), 32)
+    chosen = docs.select(F.xxhash64(F.col(id_column).cast("long"), text).alias("key"), pos.alias("pos"), F.col(id_column).cast("long").alias("doc_id"), text.alias("text"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, cache = Encoder(known.value, cutter()), {}
+        """The pre-tokens of a document that are not frequent, numbered in its key's low half."""
+        encoder = Encoder(known.value, cutter())
         for batch in batches:
-            keys, rare = batch.column(0).to_pylist(), []
-            for x in batch.column(1):
-                rare.append(list(encoder.unknown(x.as_py() or "", cache)))
-                if len(cache) > KEPT:
-                    cache.clear()
-            whose = pa.array(np.repeat(np.array(keys, dtype=np.int64), np.fromiter(map(len, rare), dtype=np.int64, count=len(rare))))
-            yield pa.RecordBatch.from_arrays([whose, pa.array([w for ws in rare for w in ws], pa.string())], ["key", "word"])
-        encoder = cache = None
+            rare = [encoder.unknown(x.as_py() or "") for x in batch.column(2)]
+            sizes = np.fromiter(map(len, rare), dtype=np.int64, count=len(rare))
+            at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keys, places = (np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(places + at), pa.array([w for ws in rare for w in ws], pa.string())], ["key", "pos", "word"])
+        encoder = None
+        give_back()
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by word: each distinct one of the shard is replayed once."""
+        value_of, last, held = valued(), None, b""
+        for batch in batches:
+            words = batch.column(2).to_pylist()
+            distinct = list(dict.fromkeys(words))
+            new = [w for w in distinct if w != last]
+            ids = dict(zip(new, value_of(new), strict=True))
+            if distinct and distinct[0] == last:
+                ids[last] = held
+            if distinct:
+                last, held = distinct[-1], ids[distinct[-1]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([ids[w] for w in words], pa.binary())], ["key", "pos", "value"])
+        value_of = None
         give_back()
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1).compress
+        """The document itself, behind its answers."""
+        press = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            texts = [press((x.as_py() or "").encode()) for x in batch.column(2)]
-            n = len(texts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.ones(n, dtype=np.int32)), batch.column(1), pa.nulls(n, pa.string()), pa.array(texts, pa.binary())],
-                ["key", "kind", "doc_id", "word", "value"],
-            )
-
-    asked = chosen.select("key", "text").mapInArrow(ask, "key long, word string")
-    answers = asked.join(words.select("word", "value"), "word").select("key", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "word", "value")
-    squeezed = chosen.mapInArrow(squeeze, "key long, kind int, doc_id long, word string, value binary")
-    # of each document first the ids of its rare words, then its text
-    met = answers.union(squeezed).repartition("key").sortWithinPartitions("key", "kind")
+            texts = []
+            for i, x in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                texts.append((b"" if i is None else i.to_bytes(8, "little", signed=True)).ljust(9, b"\0" if i is None else b"\1") + press((x.as_py() or "").encode()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(batch.column(1).to_numpy() + TEXT), pa.array(texts, pa.binary())], ["key", "pos", "value"])
+
+    asked = chosen.select("key", "pos", "text").mapInArrow(ask, "key long, pos long, word string")
+    answers = asked.repartition("word").sortWithinPartitions("word").mapInArrow(answer, "key long, pos long, value binary")
+    met = answers.union(chosen.mapInArrow(squeeze, "key long, pos long, value binary")).repartition("key").sortWithinPartitions("key", "pos")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(known.value, cutter())
         pieces = {v: k for k, v in parse_ranks(ranks.value).items()}
         decode_one = pieces.__getitem__
         expand = zstandard.ZstdDecompressor().decompress
-        key, rare = None, {}
+        of, last, answered = None, None, []
         for batch in batches:
             rows: list[tuple] = []
-            for k, kind, doc_id, word, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != key:
-                    key, rare = k, {}
-                if kind == 0:
-                    rare[word] = value
+            for key, pos, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, pos >> 32) != of:
+                    of, last, answered = (key, pos >> 32), None, []
+                if pos & TEXT != TEXT:
+                    if pos != last:  # repeated rows ask twice
+                        answered.append(value)
+                    last = pos
                     continue
-                packed = encoder.encode(expand(value).decode(), rare)
+                doc_id = int.from_bytes(value[:8], "little", signed=True) if value[8] else None
+                text = expand(value[9:]).decode()
+                packed = encoder.encode(text, answered)
                 ids = np.frombuffer(packed, dtype="<u4").tolist()
                 back = b"".join(map(decode_one, ids))
                 rows.append((doc_id, len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(back).hexdigest(), ids if with_ids else None))

@@ -1,9 +1,9 @@
-"""The distinct pre-tokens of a corpus, valued once each and given back to the documents.
+"""The distinct pre-tokens of a corpus: cut, counted, the frequent ones, and a value for each.
 
-lexicon() cuts all texts, counts every distinct pre-token by a grouped aggregation and values each once, in the
-task that the shuffle deals it to. Of the frequent ones, at most HOT and chosen by a histogram of the counts, a table
-of bounded size is broadcast; what is not in it is joined from the lexicon by the pre-token itself. So nothing is
-valued twice, whatever is frequent is not shuffled document by document, and no part of the corpus is left out.
+counted() cuts all texts and counts pre-tokens by a grouped aggregation; lexicon() gives each distinct one a value once,
+in the task that the shuffle deals it to. frequent() picks, by a histogram of the counts, at most HOT of them, so that
+a table of bounded size can be broadcast; callers join all others by the pre-token itself. So no pre-token is
+valued twice, a frequent one is not shuffled document by document, and no part of the corpus is left out.
 
 A text is first split at single spaces; a stretch between two of them is cut by the pattern with its space. Texts in
 which a pre-token may cross a space (white space on both sides of it) are cut whole.
@@ -61,8 +61,11 @@ def _strings(batch: pa.RecordBatch, column: int) -> Iterator[str | None]:
         yield x.as_py()
 
 
-def counted(docs: DataFrame, cutter: Callable[[], Cutter], text_column: str = "text") -> DataFrame:
-    """word, n: every distinct pre-token with its number of occurrences in all texts."""
+def counted(docs: DataFrame, cutter: Callable[[], Cutter], text_column: str = "text", leading: int | None = None) -> DataFrame:
+    """word, n: every distinct pre-token with its number of occurrences in all texts.
+
+    leading: of each table of a task only so many of the most frequent ones, for finding what is frequent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = cutter()
@@ -73,7 +76,8 @@ def counted(docs: DataFrame, cutter: Callable[[], Cutter], text_column: str = "t
             for x, n in tails.items():
                 for w in cut.find(" " + x):
                     words[w] += n
-            found = pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
+            some = dict(words if leading is None else words.most_common(leading))
+            found = pa.RecordBatch.from_arrays([pa.array(some.keys(), pa.string()), pa.array(some.values(), pa.int64())], ["word", "n"])
             tails.clear()
             words.clear()
             return found
@@ -106,8 +110,8 @@ def lexicon(docs: DataFrame, cutter: Callable[[], Cutter], valued: Callable[[],
     return written(counted(docs, cutter, text_column).mapInArrow(run, f"word string, n long, value {kind}"), "lexicon")
 
 
-def frequent(words: DataFrame, most: int = HOT) -> dict:
-    """Of the lexicon the values of the most frequent words, at most `most` of them."""
+def frequent(words: DataFrame, most: int = HOT) -> DataFrame:
+    """The rows of the most frequent words (word, n), at most `most` of them and none longer than HOT_CHARS."""
     short = words.where(F.length("word") <= HOT_CHARS)
     # sixteen steps for each doubling of the count: a histogram of at most some hundred rows
     step = F.floor(F.log2("n") * 16).cast("int")
@@ -118,6 +122,9 @@ def frequent(words: DataFrame, most: int = HOT) -> dict:
         if held > most:
             break
         least = r["step"]
-    if least is None:
-        return {}
-    return {r.word: r.value if isinstance(r.value, int) else bytes(r.value) for r in short.where(step >= least).select("word", "value").toLocalIterator()}
+    return short.where(F.lit(False) if least is None else step >= least)
+
+
+def table_of(words: DataFrame) -> dict:
+    """word -> value, of a table whose size is bounded by frequent()."""
+    return {r.word: r.value if isinstance(r.value, int) else bytes(r.value) for r in words.select("word", "value").toLocalIterator()}

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.llm.common import give_back, table, written
-from quayside.llm.pretokens import HOT, KEPT, Cutter, frequent, lexicon
+from quayside.llm.pretokens import HOT, KEPT, Cutter, frequent, lexicon, table_of
 
 #: Fixed value: the pattern of the library's byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -98,7 +98,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
     apart = specials(text)
     cutter = lambda: Cutter(PATTERN, apart)
     words = lexicon(docs, cutter, lambda: counter(definition.value), "long", text_column)
-    known = spark.sparkContext.broadcast(frequent(words, hot))  # at most `hot` short words
+    known = spark.sparkContext.broadcast(table_of(frequent(words, hot)))  # at most `hot` short words
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each document's tokens in frequent pre-tokens, and the frequencies of all others."""
