@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The pre-tokens of all documents are dealt to shards by hash, and each distinct one is encoded once for the whole corpus:
-in a shard an inverted index maps each mergeable pair to the positions in its words where it stands; the pairs are
-replayed in rank order, and a merge updates only its two neighbours' entries. The frequent pre-tokens, found by a
-grouped aggregation, are replayed first and their ids broadcast (a bounded table). Of the others each document asks for
-those it has, and their ids meet its text, compressed, in one shuffle. A document is then a join of look-ups.
+The pre-tokens that are frequent in the table, found by a grouped aggregation over all documents, are encoded once for
+the whole corpus: an inverted index maps each mergeable pair to the positions in the words where it stands; the pairs are
+replayed in rank order, and a merge updates only its two neighbours' entries. Their ids are broadcast, a table of
+bounded size. All other pre-tokens, a few in a hundred by occurrence, are replayed in the same way where they stand, the
+new ones of a group of texts together: dealing them to shards too, and their ids back, was built and moves more
+than the input (figures in the README). A document is then a join of look-ups.
 
 Defined results: a null text is the empty text (no tokens, digests of nothing); texts of any length
 are taken whole; repeated rows and repeated or null ids each give their own row; an empty table gives
@@ -14,6 +15,7 @@ no rows; further columns are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 from collections import defaultdict
@@ -21,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +35,6 @@ TOGETHER = 20_000
 COMMON = 1500
 #: Pre-tokens that a table of a task proposes as frequent.
 LEADING = 1 << 16
-#: The low half of a document's own place, behind its answers.
-TEXT = (1 << 31) - 1
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -294,52 +293,38 @@ def replay_all(words: list[bytes], merges: Merges) -> list[bytes]:
 
 
 class Encoder:
-    """Ids of texts from ids of pre-tokens: the frequent ones are given, the others come with each text."""
-
-    def __init__(self, hot: dict[str, bytes], cutter: Cutter, kept: int = KEPT):
-        self.hot, self.find, self.kept = hot, cutter.find, kept
-        self.tails: dict[str, tuple] = {}
-
-    def cut(self, words: list[str]) -> tuple:
-        """The words' ids, with the words that are not frequent in their places."""
-        hot, out, run = self.hot, [], b""
-        for w in words:
-            found = hot.get(w)
-            if found is None:
-                if run:
-                    out.append(run)
-                out.append(w)
-                run = b""
-            else:
-                run += found
-        if run:
-            out.append(run)
-        return tuple(out)
-
-    def parts(self, text: str) -> list:
-        """A text as runs of packed ids (bytes) and pre-tokens that are not frequent (str)."""
-        if CROSSING.search(text):
-            return list(self.cut(self.find(text)))
-        head, *rest = text.split(" ")
-        if len(self.tails) > self.kept:
-            self.tails = {}
-        tails, out = self.tails, list(self.cut(self.find(head)))
-        for x in rest:
-            found = tails.get(x)
-            if found is None:
-                found = tails[x] = self.cut(self.find(" " + x))
-            out += found
-        return out
+    """Encodes texts, group by group; ids come as bytes, little-endian unsigned 32-bit each.
 
-    def unknown(self, text: str) -> list[str]:
-        """The distinct pre-tokens of a text that are not frequent, in order of first occurrence."""
-        return list(dict.fromkeys([x for x in self.parts(text) if type(x) is str]))
+    The frequent pre-tokens' ids are given. The others of a group that were not met before are replayed together.
+    """
 
-    def encode(self, text: str, answers: list[bytes]) -> bytes:
-        """Packed ids, little-endian unsigned 32-bit each, from the answers to unknown(text)."""
-        parts = self.parts(text)
-        rare = dict(zip(dict.fromkeys([x for x in parts if type(x) is str]), answers, strict=True))
-        return b"".join([rare[x] if type(x) is str else x for x in parts])
+    def __init__(self, merges: Merges, hot: dict[str, bytes], cutter: Cutter, kept: int = KEPT):
+        self.merges, self.hot, self.cutter, self.kept = merges, hot, cutter, kept
+        self.rare: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+
+    def learn(self, words: set[str]) -> None:
+        new = sorted(w for w in words if w not in self.hot and w not in self.rare)
+        self.rare.update(zip(new, replayed(new, self.merges), strict=True))
+
+    def ids(self, words: list[str]) -> bytes:
+        hot, rare = self.hot, self.rare
+        return b"".join([hot[w] if w in hot else rare[w] for w in words])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.tails) > self.kept or len(self.rare) > self.kept:
+            self.tails, self.rare = {}, {}
+        find, after_space = self.cutter.find, self.cutter.after_space
+        whole = [find(text) if CROSSING.search(text) else None for text in texts]
+        split = [text.split(" ") if words is None else None for text, words in zip(texts, whole, strict=True)]
+        heads = [find(parts[0]) if parts else words for parts, words in zip(split, whole, strict=True)]
+        new = {x for parts in split if parts for x in set(parts[1:])}
+        cut = {x: after_space(x) for x in new if x not in self.tails}
+        self.learn({w for words in [*cut.values(), *heads] for w in words})
+        for x, words in cut.items():
+            self.tails[x] = self.ids(words)
+        look = self.tails.__getitem__
+        return [self.ids(head) + (b"".join(map(look, parts[1:])) if parts else b"") for head, parts in zip(heads, split, strict=True)]
 
 
 def replayed(words: list[str], merges: Merges) -> list[bytes]:
@@ -350,6 +335,20 @@ def replayed(words: list[str], merges: Merges) -> list[bytes]:
     return out
 
 
+def groups(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) in groups of about `most` characters; a longer text is a group of its own."""
+    first, held, size = 0, [], 0
+    for i, text in enumerate(texts):
+        text = text or ""
+        if held and size + len(text) > most:
+            yield first, held
+            first, held, size = i, [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield first, held
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_tokens, digests of the ids and of the decoded bytes, and the ids if asked for."""
     spark = docs.sparkSession
@@ -357,98 +356,43 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc
     # the vocabulary's file has a fixed size; what is built from it lives in a task only, not in the worker
     ranks = spark.sparkContext.broadcast(read_file(vocabulary))
     cutter = lambda: Cutter(pattern)
-
-    def valued():
-        merges = Merges(parse_ranks(ranks.value))
-        return lambda words: replayed(words, merges)
-
     # what is frequent in a task's texts; the counts of all tasks together name the frequent ones of the table
     leading = written(counted(docs, cutter, text_column, leading=LEADING), "leading")
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value_of = valued()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value_of(batch.column(0).to_pylist()), pa.binary())], ["word", "value"])
-        value_of = None
-        give_back()
-
-    known = spark.sparkContext.broadcast(table_of(frequent(leading, hot).select("word").repartition("word").mapInArrow(value, "word string, value binary")))
-    text = F.col(text_column)
-    pos = F.shiftleft(F.hash(text).cast("long"), 32)
-    chosen = docs.select(F.xxhash64(F.col(id_column).cast("long"), text).alias("key"), pos.alias("pos"), F.col(id_column).cast("long").alias("doc_id"), text.alias("text"))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The pre-tokens of a document that are not frequent, numbered in its key's low half."""
-        encoder = Encoder(known.value, cutter())
+        merges = Merges(parse_ranks(ranks.value))
         for batch in batches:
-            rare = [encoder.unknown(x.as_py() or "") for x in batch.column(2)]
-            sizes = np.fromiter(map(len, rare), dtype=np.int64, count=len(rare))
-            at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keys, places = (np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(places + at), pa.array([w for ws in rare for w in ws], pa.string())], ["key", "pos", "word"])
-        encoder = None
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(replayed(batch.column(0).to_pylist(), merges), pa.binary())], ["word", "value"])
+        merges = None
         give_back()
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by word: each distinct one of the shard is replayed once."""
-        value_of, last, held = valued(), None, b""
-        for batch in batches:
-            words = batch.column(2).to_pylist()
-            distinct = list(dict.fromkeys(words))
-            new = [w for w in distinct if w != last]
-            ids = dict(zip(new, value_of(new), strict=True))
-            if distinct and distinct[0] == last:
-                ids[last] = held
-            if distinct:
-                last, held = distinct[-1], ids[distinct[-1]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([ids[w] for w in words], pa.binary())], ["key", "pos", "value"])
-        value_of = None
-        give_back()
+    corpus = frequent(leading, hot).select("word").repartition("word").mapInArrow(value, "word string, value binary")
+    known = spark.sparkContext.broadcast(table_of(corpus))  # at most `hot` short words
 
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The document itself, behind its answers."""
-        press = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            texts = []
-            for i, x in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
-                texts.append((b"" if i is None else i.to_bytes(8, "little", signed=True)).ljust(9, b"\0" if i is None else b"\1") + press((x.as_py() or "").encode()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(batch.column(1).to_numpy() + TEXT), pa.array(texts, pa.binary())], ["key", "pos", "value"])
-
-    asked = chosen.select("key", "pos", "text").mapInArrow(ask, "key long, pos long, word string")
-    answers = asked.repartition("word").sortWithinPartitions("word").mapInArrow(answer, "key long, pos long, value binary")
-    met = answers.union(chosen.mapInArrow(squeeze, "key long, pos long, value binary")).repartition("key").sortWithinPartitions("key", "pos")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(known.value, cutter())
-        pieces = {v: k for k, v in parse_ranks(ranks.value).items()}
-        decode_one = pieces.__getitem__
-        expand = zstandard.ZstdDecompressor().decompress
-        of, last, answered = None, None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # many strings are held, none in cycles
+        merges = Merges(parse_ranks(ranks.value))
+        encoder = Encoder(merges, known.value, cutter())
+        pieces = {v: k for k, v in merges.ranks.items()}
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids]
         for batch in batches:
-            rows: list[tuple] = []
-            for key, pos, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, pos >> 32) != of:
-                    of, last, answered = (key, pos >> 32), None, []
-                if pos & TEXT != TEXT:
-                    if pos != last:  # repeated rows ask twice
-                        answered.append(value)
-                    last = pos
-                    continue
-                doc_id = int.from_bytes(value[:8], "little", signed=True) if value[8] else None
-                text = expand(value[9:]).decode()
-                packed = encoder.encode(text, answered)
-                ids = np.frombuffer(packed, dtype="<u4").tolist()
-                back = b"".join(map(decode_one, ids))
-                rows.append((doc_id, len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(back).hexdigest(), ids if with_ids else None))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()))
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
-            n = 4 + with_ids
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:n], kinds[:n], strict=True)], names[:n])
-        encoder = pieces = decode_one = None
+            for first, texts in groups(batch.column(1).to_pylist()):
+                packed = encoder.encode(texts)
+                back = [b"".join(map(pieces.__getitem__, np.frombuffer(x, dtype="<u4").tolist())) for x in packed]
+                columns = [
+                    batch.column(0).slice(first, len(texts)),
+                    pa.array([len(x) // 4 for x in packed], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in packed]),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in back]),
+                ]
+                if with_ids:
+                    columns.append(pa.array([np.frombuffer(x, dtype="<u4").tolist() for x in packed], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, names)
+        merges = encoder = pieces = None
         give_back()
 
-    return met.mapInArrow(finish, SCHEMA + ", ids array<long>" * with_ids)
+    chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    return chosen.mapInArrow(run, SCHEMA + ", ids array<long>" * with_ids)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:

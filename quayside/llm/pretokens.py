@@ -27,7 +27,11 @@ HOT, HOT_CHARS = 1 << 17, 64
 #: Entries of a task's tables, which are emptied beyond; this changes no result.
 KEPT = 150_000
 #: White space on both sides of a space: there a pre-token may cross the space.
-CROSSING = regex.compile(r"\s (?:\s|\Z)")
+CROSSING = re.compile(r"\s (?:\s|\Z)")
+#: Letters, all of them such by any version of Unicode, and perhaps one mark.
+LETTERS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)").fullmatch
+#: Fixed value: the pattern of byte-level pre-tokenizers.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class Cutter:
@@ -35,9 +39,17 @@ class Cutter:
 
     def __init__(self, pattern: str, specials: tuple[str, ...] = ()):
         self.find = regex.compile(pattern).findall
+        #: whether a run of letters with the space before it is one pre-token, and a mark behind it another
+        self.plain = pattern == PATTERN
         longest = sorted(specials, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, longest))) if longest else None
 
+    def after_space(self, x: str) -> list[str]:
+        """The pre-tokens of a space and the stretch behind it."""
+        if self.plain and (m := LETTERS(x)):
+            return [" " + m[1], m[2]] if m[2] else [" " + x]
+        return self.find(" " + x)
+
     def parts(self, text: str | None) -> tuple[list[str], int]:
         """(the texts between special strings, number of these)."""
         text = text or ""
@@ -74,7 +86,7 @@ def counted(docs: DataFrame, cutter: Callable[[], Cutter], text_column: str = "t
 
         def out() -> pa.RecordBatch:
             for x, n in tails.items():
-                for w in cut.find(" " + x):
+                for w in cut.after_space(x):
                     words[w] += n
             some = dict(words if leading is None else words.most_common(leading))
             found = pa.RecordBatch.from_arrays([pa.array(some.keys(), pa.string()), pa.array(some.values(), pa.int64())], ["word", "n"])

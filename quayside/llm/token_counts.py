@@ -25,11 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.llm.common import give_back, table, written
-from quayside.llm.pretokens import HOT, KEPT, Cutter, frequent, lexicon, table_of
-
-#: Fixed value: the pattern of the library's byte-level pre-tokenizer.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
+from quayside.llm.pretokens import HOT, KEPT, PATTERN, Cutter, frequent, lexicon, table_of
 
 def ranked(definition: dict) -> tiktoken.Encoding | None:
     """The same merges as ranks, which are faster on short strings; None unless each merge's id follows its place.
@@ -106,7 +102,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
         row = TaskContext.get().partitionId() << 40
 
         def learn(x: str) -> tuple[int, tuple[str, ...]]:
-            found = cut.find(" " + x)
+            found = cut.after_space(x)
             return sum([counts.get(w, 0) for w in found]), tuple([w for w in found if w not in counts])
 
         for batch in batches:
