@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.llm.common import give_back, small_batches, table, written
-from quayside.llm.pretokens import CROSSING, HOT, KEPT, Cutter, counted, frequent, table_of
+from quayside.llm.pretokens import HOT, KEPT, Cutter, counted, crosses, frequent, table_of
 
 #: Pre-tokens that are replayed together.
 TOGETHER = 20_000
@@ -315,7 +315,7 @@ class Encoder:
         if len(self.tails) > self.kept or len(self.rare) > self.kept:
             self.tails, self.rare = {}, {}
         find, after_space = self.cutter.find, self.cutter.after_space
-        whole = [find(text) if CROSSING.search(text) else None for text in texts]
+        whole = [find(text) if crosses(text) else None for text in texts]
         split = [text.split(" ") if words is None else None for text, words in zip(texts, whole, strict=True)]
         heads = [find(parts[0]) if parts else words for parts, words in zip(split, whole, strict=True)]
         new = {x for parts in split if parts for x in set(parts[1:])}

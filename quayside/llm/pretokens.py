@@ -23,17 +23,21 @@ from pyspark.sql import functions as F
 from quayside.llm.common import give_back, small_batches, written
 
 #: Frequent pre-tokens that are broadcast, and the length up to which one may be among them.
-HOT, HOT_CHARS = 1 << 17, 64
+HOT, HOT_CHARS = 1 << 18, 64
 #: Entries of a task's tables, which are emptied beyond; this changes no result.
-KEPT = 150_000
+KEPT, COUNTED = 150_000, 400_000
 #: White space on both sides of a space: there a pre-token may cross the space.
-CROSSING = re.compile(r"\s (?:\s|\Z)")
+_CROSSING, _MAYBE = re.compile(r"\s (?:\s|\Z)").search, re.compile(r" (?:\s|\Z)").search
 #: Letters, all of them such by any version of Unicode, and perhaps one mark.
 LETTERS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)").fullmatch
 #: Fixed value: the pattern of byte-level pre-tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def crosses(text: str) -> bool:
+    return _MAYBE(text) is not None and _CROSSING(text) is not None
+
+
 class Cutter:
     """Cuts texts into pre-tokens; special strings stand for themselves and divide a text."""
 
@@ -60,7 +64,7 @@ class Cutter:
 
     def add(self, text: str, tails: Counter, words: Counter) -> None:
         """Add a text's stretches that follow a space, and the pre-tokens of all the rest."""
-        if CROSSING.search(text):
+        if crosses(text):
             words.update(self.find(text))
         else:
             head, *rest = text.split(" ")
@@ -98,7 +102,7 @@ def counted(docs: DataFrame, cutter: Callable[[], Cutter], text_column: str = "t
             for text in _strings(batch, 0):
                 for part in cut.parts(text)[0]:
                     cut.add(part, tails, words)
-                if len(tails) > KEPT or len(words) > KEPT:
+                if len(tails) > COUNTED or len(words) > COUNTED:
                     yield out()
         yield out()
         give_back()
