@@ -18,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import table
+from quayside.llm.common import running, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Tokens that one unit of a kind stands for: image tiles, audio seconds, document pages.
 TOKENS = {"image": 256, "audio": 25, "document": 512}
+#: What a placeholder looks like: texts have a backslash after the first sign.
+PLACEHOLDER = r"<\|([a-z]+)\|>"
 PARTS = "array<struct<kind string, text string, ref string, units int>>"
 
 
@@ -92,37 +94,46 @@ def format_chats(turns: DataFrame, tokens: dict[str, int] | None = None, learned
     head = lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))
     tail = END + "\n"
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(head(t), t["content"], F.lit(tail))), "")
-    span = "array<struct<start:bigint,end:bigint>>"
-    begun = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(span).alias("spans"))
 
-    def step(held: Column, t: Column) -> Column:
-        start = held["at"] + F.length(head(t))
+    def step(at: Column, t: Column) -> tuple[Column, Column, Column]:
+        start = at + F.length(head(t))
         end = start + F.length(t["content"])
-        mark = F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end")))
-        return F.struct((end + len(tail)).cast("long").alias("at"), F.when(t["role"] == learned, F.concat(held["spans"], mark)).otherwise(held["spans"]).alias("spans"))
+        return end + len(tail), F.struct(start.cast("long").alias("start"), end.cast("long").alias("end")), t["role"] == learned
 
     numbered = F.flatten(F.transform("turns", lambda t, i: F.transform(t["attachments"], lambda a: F.struct(i.alias("turn"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
     return gathered.select(
         "conv_id",
         formatted.alias("formatted"),
-        F.aggregate("turns", begun, step, lambda held: held["spans"]).alias("loss_spans"),
+        running(F.col("turns"), "struct<start:bigint,end:bigint>", step).alias("loss_spans"),
         numbered.alias("attachments"),
     ).withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"]))
 
 
 def read_back(formatted: Column) -> Column:
-    """array<struct<role, text>> of a formatted conversation, control strings undone."""
+    """array<struct<role, text, content>> of a formatted conversation: control strings undone, and as it stands for read_parts()."""
     marked = F.slice(F.split(formatted, r"<\|im_start\|>", -1), 2, 1 << 30)
 
     def turn(x: Column) -> Column:
         inner = F.substring_index(x, END, 1)  # the first end mark: texts hold none
         role = F.substring_index(inner, "\n", 1)
         text = F.substr(inner, F.length(role) + 2)
-        return F.struct(unescape_role(role).alias("role"), unescape(text).alias("text"))
+        return F.struct(unescape_role(role).alias("role"), unescape(text).alias("text"), text.alias("content"))
 
     return F.transform(marked, turn)
 
 
+def read_parts(content: Column) -> Column:
+    """array<struct<kind, text>> of a turn's content as it stands in a formatted conversation, control strings undone.
+
+    A placeholder's opening is never escaped and a text's always is, so the two are told apart before anything is undone.
+    """
+    marks = F.regexp_extract_all(content, F.lit(PLACEHOLDER), F.lit(1))
+    texts = F.transform(F.split(content, PLACEHOLDER, -1), lambda x: F.struct(F.lit("text").alias("kind"), unescape(x).alias("text")))
+    media = F.transform(marks, lambda k: F.struct(k.alias("kind"), F.lit("").alias("text")))
+    both = F.flatten(F.transform(F.arrays_zip(texts.alias("t"), media.alias("m")), lambda x: F.array(x["t"], x["m"])))
+    return F.filter(both, lambda x: x.isNotNull() & ((x["kind"] != "text") | (x["text"] != "")))
+
+
 def masked_text(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, nothing between."""
     return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")

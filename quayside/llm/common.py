@@ -6,8 +6,12 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Bytes of one Arrow batch; long texts would fill memory in batches counted by rows alone.
@@ -34,30 +38,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where that is unset (tests), a folder of this machine is set."""
+    """The shared folder of spark.checkpoint.dir; a local session without that setting (tests) gets a folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="quayside-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="quayside-"))
+    return _own[0]
 
 
-_made: list[str] = []
+#: The tables that the run in this context has written and not removed; a run of its own has a list of its own.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
-def made_so_far() -> int:
-    """How many tables this process has written to the shared folder and not removed."""
-    return len(_made)
+@contextmanager
+def run_of_tables() -> Iterator[list[str]]:
+    """Within it, written() notes its tables in the list that is given."""
+    held: list[str] = []
+    token = _made.set(held)
+    try:
+        yield held
+    finally:
+        _made.reset(token)
 
 
-def release(spark: SparkSession, since: int, keep: int = 0) -> None:
-    """Remove the tables written since made_so_far() gave `since`, but for the last `keep`; nothing may read them later."""
-    gone = _made[since : len(_made) - keep]
-    for path in gone:
+def release(spark: SparkSession, made: list[str], keep: int = 0) -> None:
+    """Remove these tables but for the last `keep`; nothing may read them later."""
+    for path in made[: len(made) - keep]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        _made.remove(path)
+        made.remove(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -65,5 +81,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _made.append(path)
+    made = _made.get()
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Elements that running() takes together.
+TOGETHER = 256
+
+
+def running(items: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """array<kind> gathered while a position runs over the items.
+
+    step(position, item) gives (the next position, the element, whether it is gathered). An array that grows element by
+    element is copied each time, so the items go in chunks and the cost stays near linear.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    last = F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / TOGETHER).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * TOGETHER + 1, TOGETHER))
+
+    def one(held: Column, x: Column) -> Column:
+        at, element, wanted = step(held["at"], x)
+        return F.struct(at.cast("long").alias("at"), F.when(wanted, F.concat(held["out"], F.array(element))).otherwise(held["out"]).alias("out"))
+
+    def chunk(done: Column, part: Column) -> Column:
+        begun = F.struct(F.element_at(done, -1)["at"].alias("at"), none.alias("out"))
+        return F.concat(done, F.array(F.aggregate(part, begun, one)))
+
+    start = F.array(F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")))
+    return F.aggregate(chunks, start, chunk, lambda done: F.flatten(F.transform(done, lambda x: x["out"])))

@@ -38,3 +38,21 @@ def test_typed_parts(spark):
     assert r.formatted.startswith("<|im_start|>user\nsee <\\|image|><|image|><|audio|>kept<|document|><|im_end|>\n")
     assert [r.formatted[s.start : s.end] for s in r.loss_spans] == ["ok"]
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_parts_read_back(spark):
+    from quayside.llm.chat import read_parts
+
+    kind = "conv_id long, turn long, role string, parts array<struct<kind string, text string, ref string, units int>>"
+    parts = [[("text", x, None, None), ("image", None, "i", 1), ("text", "<|image|>" + (x or ""), None, None), ("audio", None, None, 1)] for x in HARD] + [[], [("image", None, None, None)] * 3]
+    frame = spark.createDataFrame([(i, 0, "user", p) for i, p in enumerate(parts)], kind)
+    read = format_chats(frame).select("conv_id", read_parts(read_back(F.col("formatted"))[0]["content"]).alias("p")).collect()
+    for r in read:
+        want = [(k, t or "") if k == "text" else (k, "") for k, t, _, _ in parts[r.conv_id]]
+        assert [(x.kind, x.text) for x in r.p] == [x for x in want if x != ("text", "")]
+
+
+def test_many_turns(spark):
+    frame = spark.range(3000).selectExpr("0L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('t', id) as text").withColumn("parts", text_parts(F.col("text")))
+    r = format_chats(frame).select(masked_text(F.col("formatted"), F.col("loss_spans")).alias("m"), F.size("loss_spans").alias("n")).first()
+    assert r.n == 1500 and r.m == "".join(f"t{i}" for i in range(1, 3000, 2))
