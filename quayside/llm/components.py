@@ -25,25 +25,20 @@ def _round(edges: DataFrame, small: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root for every node of links (u, v: long), root being the smallest node that can be reached.
+def components(links: DataFrame) -> DataFrame:
+    """node, root for every node of links (u, v: of any type with an order), root being the smallest that can be reached.
 
-    Alternating large-star and small-star steps; each step's links are written to the shared folder.
+    Alternating large-star and small-star steps, each written to the shared folder, until a step changes no link.
     Links with a null end, loops and repeats are left out; no links give no rows.
     """
-    state = ["count(*) as n", "coalesce(sum(u % 1000003), 0) as a", "coalesce(sum(v % 1000003), 0) as b"]
-    edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = written(edges, "links")
-    last = edges.selectExpr(*state).first()
-    for _ in range(most_rounds):
-        if not last["n"]:
+    edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    n = edges.count()
+    while n:
+        last, before = edges, n
+        edges = written(_round(_round(last, False), True), "links")
+        n = edges.count()
+        # both hold distinct links: as many, and none that was not there, is the same state
+        if n == before and edges.join(last, ["u", "v"], "left_anti").isEmpty():
             break
-        edges = written(_round(_round(edges, False), True), "links")
-        now = edges.selectExpr(*state).first()
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError(f"components have not settled in {most_rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.selectExpr("u as node", "v as root").union(roots.selectExpr("node", "node as root"))

@@ -4,15 +4,15 @@ The log-posterior of a language is the sum of: the text's tempered log-likelihoo
 the log-likelihood of the declared (markup) language; that of the address suffix; and the log-prior of the host.
 The trigram model is fitted on at most SAMPLE labelled rows a language, chosen by hash. Declaration and suffix
 likelihoods and host priors come from grouped counts over all rows, by the language that the text alone suggests;
-host priors are smoothed towards those of the suffix, these towards the whole. Hosts, declared values and suffixes are
-joined, never collected, and none is left out. Every label is a language; the driver and each worker hold the trigram
+host priors are smoothed towards those of their suffixes, these towards the whole. Hosts, declared values and suffixes are
+joined, never collected, and none is left out. Texts are scored once; what is joined are rows of one number a language. Every label is a language; the driver and each worker hold the trigram
 table, 128 KB a language, and rows carry one number a language, so memory and time grow with the labels.
 
 A document is kept if its best language has a posterior of MIN_POSTERIOR or more and its text has letters.
 Defined results: a null or letterless text has no text evidence and is rejected; null declaration, host or address
 is no evidence, a null host having the whole's prior; ties go to the language first by name; repeated rows are
 rows; with no labelled rows or an empty table there are no languages, and every row is rejected with a null one;
-other columns are passed on in _row and never mixed up with those made here.
+other columns are not looked at, and what `keep` names is passed on in _row.
 """
 
 from __future__ import annotations
@@ -116,61 +116,85 @@ def suffix_of(host: Column) -> Column:
     return F.nullif(F.regexp_extract(host, r"\.([A-Za-z]{2,})$", 1), F.lit(""))
 
 
-def identify(docs: DataFrame, declared: Column | None = None, host: Column | None = None, address: Column | None = None, text: Column | None = None, label: Column | None = None, sample: int = SAMPLE, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
-    """_row (the input row), language, posterior, kept.
+def evidence_key(declared: Column, host: Column, address: Column, text: Column) -> Column:
+    """What the evidence of a row is known by: rows alike in all of it have the same result."""
+    return F.struct(F.xxhash64(declared, host, address, text).alias("h"), F.hash(text, address, host, declared).alias("g"))
 
-    text, label (to fit the text model), declared language, host and address (its suffix counts) are columns of docs.
+
+def identify(docs: DataFrame, declared: Column | None = None, host: Column | None = None, address: Column | None = None, text: Column | None = None, label: Column | None = None, keep: Column | None = None, sample: int = SAMPLE, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
+    """_row (the value of keep for each row), _key, language, posterior, kept.
+
+    text, label (to fit the text model), declared language, host and address (its suffix counts) are columns of docs. keep
+    should be thin, such as an id: texts are read once to be scored and take no part in what follows. Without it,
+    _row is null. _key is evidence_key(), by which rows can be found again.
     """
     spark = docs.sparkSession
     small_batches(spark)
     null = F.lit(None).cast("string")
     text = F.col("text") if text is None else text
     pick = lambda c: (null if c is None else c).cast("string")
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-        text.alias("_text"),
-        pick(declared).alias("_declared"),
-        pick(host).alias("_host"),
-        suffix_of(pick(address if address is not None else host)).alias("_suffix"),
-    )
+    row = null if keep is None else keep
+    key = evidence_key(pick(declared), pick(host), pick(address), text)
     languages, logs = fit(docs.select(pick(label if label is not None else declared).alias("label"), text.alias("text")), sample)
     if not languages:
-        return rows.select("_row", null.alias("language"), F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("kept"))
+        return docs.select(row.alias("_row"), key.alias("_key"), null.alias("language"), F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("kept"))
     n = len(languages)
-    evidence = text_evidence(spark.sparkContext.broadcast(logs), n)(F.col("_text"))
-    rows = rows.withColumn("_ll", evidence)
+    evidence = text_evidence(spark.sparkContext.broadcast(logs), n)
+    # a column that only the scoring reads, then none of the text: one number a language goes on
+    thin = docs.select(
+        row.alias("_row"), key.alias("_key"), pick(declared).alias("_declared"), pick(host).alias("_host"), suffix_of(pick(address if address is not None else host)).alias("_suffix"), evidence(text).alias("_ll")
+    )
+    rows = written(thin, "scored")
     guesses = rows.where(F.size("_ll") > 0).select("_host", "_suffix", "_declared", (F.array_position("_ll", F.array_max("_ll")) - 1).cast("int").alias("guess"))
-    counted = guesses.groupBy("_host", "_suffix", "_declared", "guess").agg(F.count("*").alias("k"))
-    spread = written(counted, "languages")
+    spread = written(guesses.groupBy("_host", "_suffix", "_declared", "guess").agg(F.count("*").alias("k")), "languages")
     said, unsaid = _weighted(spread, "_declared", n)
     ends, unended = _weighted(spread, "_suffix", n)
-    whole = [1.0] * n
-    for r in spread.groupBy("guess").agg(F.sum("k").alias("k")).collect():
-        whole[r.guess] += r.k
-    whole = [x / sum(whole) for x in whole]
-    hosts = spread.where("_host is not null").groupBy("_host", "_suffix").agg(F.sum("k").alias("total"), *[F.sum(F.when(F.col("guess") == j, F.col("k")).otherwise(0)).alias(f"k{j}") for j in range(n)])
-    per_suffix = spread.where("_suffix is not null").groupBy("_suffix").agg(F.sum("k").alias("s_total"), *[F.sum(F.when(F.col("guess") == j, F.col("k")).otherwise(0)).alias(f"s{j}") for j in range(n)])
-    hosts = hosts.join(per_suffix, "_suffix", "left")
-    smooth = lambda own, total, back: (F.coalesce(F.col(own), F.lit(0)) + SMOOTHING * back) / (F.coalesce(F.col(total), F.lit(0)) + SMOOTHING)
-    prior = F.array(*[F.log(smooth(f"k{j}", "total", smooth(f"s{j}", "s_total", F.lit(whole[j])))) for j in range(n)])
-    # a host has one suffix unless addresses disagree: then the first by name stands
-    hosts = hosts.select("_host", F.coalesce("_suffix", F.lit("")).alias("suffix"), prior.alias("_prior")).groupBy("_host").agg(F.min_by("_prior", "suffix").alias("_prior"))
-    joined = rows.join(hosts, "_host", "left").join(said, "_declared", "left").join(ends, "_suffix", "left")
-    base = F.coalesce(F.col("_prior"), F.array(*[F.lit(math.log(x)) for x in whole]))
+    prior, whole = host_priors(spread, n)
+    # many rows share these, so each combination is joined once and then met by its rows
+    asked = rows.select("_host", "_declared", "_suffix").distinct()
+    joined = asked.join(prior, "_host", "left").join(said, "_declared", "left").join(ends, "_suffix", "left")
     zero = F.array(*[F.lit(0.0)] * n)
-    parts = [base, F.when(F.size("_ll") > 0, F.col("_ll")).otherwise(zero), _said("_declared", unsaid, zero), _said("_suffix", unended, zero)]
-    total = F.array(*[sum((p[j] for p in parts[1:]), parts[0][j]) for j in range(n)])
-    scored = joined.select("_row", "_ll", total.alias("_total")).withColumn("_top", F.array_max("_total"))
+    parts = [F.coalesce(F.col("_prior"), F.array(*[F.lit(math.log(x)) for x in whole])), _said("_declared", unsaid, zero), _said("_suffix", unended, zero)]
+    beside = F.array(*[sum((p[j] for p in parts[1:]), parts[0][j]) for j in range(n)])
+    joined = joined.select(F.xxhash64("_host", "_declared", "_suffix").alias("_h"), "_host", "_declared", "_suffix", beside.alias("_beside"))
+    met = rows.withColumn("_h", F.xxhash64("_host", "_declared", "_suffix")).alias("r").join(
+        joined.alias("j"), (F.col("r._h") == F.col("j._h")) & F.col("r._host").eqNullSafe(F.col("j._host")) & F.col("r._declared").eqNullSafe(F.col("j._declared")) & F.col("r._suffix").eqNullSafe(F.col("j._suffix"))
+    )
+    said_by_text = F.when(F.size("_ll") > 0, F.col("_ll")).otherwise(zero)
+    total = F.zip_with("_beside", said_by_text, lambda a, b: a + b)
+    scored = met.select("_row", "_key", "_ll", total.alias("_total")).withColumn("_top", F.array_max("_total"))
     posterior = 1 / F.aggregate("_total", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
     names = F.array(*map(F.lit, languages))
     return scored.select(
         "_row",
+        "_key",
         F.element_at(names, F.array_position("_total", F.col("_top")).cast("int")).alias("language"),
         posterior.alias("posterior"),
         ((F.size("_ll") > 0) & (posterior >= min_posterior)).alias("kept"),
     )
 
 
+def host_priors(spread: DataFrame, n: int) -> tuple[DataFrame, list[float]]:
+    """(_host and its log-prior, the whole's prior) from counts k by _host, _suffix and guess.
+
+    A host's counts, under all its suffixes together, are smoothed towards the prior of its suffix, this one towards the
+    whole. A host seen with several suffixes is smoothed towards their priors' mean, weighted by its rows.
+    """
+    whole = [1.0] * n
+    for r in spread.groupBy("guess").agg(F.sum("k").alias("k")).collect():
+        whole[r.guess] += r.k
+    whole = [x / sum(whole) for x in whole]
+    by_guess = lambda name: [F.sum(F.when(F.col("guess") == j, F.col("k")).otherwise(0)).alias(f"{name}{j}") for j in range(n)]
+    smooth = lambda own, total, back: (own + SMOOTHING * back) / (total + SMOOTHING)
+    ends = spread.where("_suffix is not null").groupBy("_suffix").agg(F.sum("k").alias("s_total"), *by_guess("s"))
+    ends = ends.select("_suffix", F.array(*[smooth(F.col(f"s{j}"), F.col("s_total"), whole[j]) for j in range(n)]).alias("_back"))
+    parts = spread.where("_host is not null").groupBy("_host", "_suffix").agg(F.sum("k").alias("total"), *by_guess("k")).join(ends, "_suffix", "left")
+    back = F.coalesce(F.col("_back"), F.array(*map(F.lit, whole)))
+    hosts = parts.groupBy("_host").agg(F.sum("total").alias("total"), *[F.sum(f"k{j}").alias(f"k{j}") for j in range(n)], *[F.sum(back[j] * F.col("total")).alias(f"b{j}") for j in range(n)])
+    prior = F.array(*[F.log(smooth(F.col(f"k{j}"), F.col("total"), F.col(f"b{j}") / F.col("total"))) for j in range(n)])
+    return hosts.select("_host", prior.alias("_prior")), whole
+
+
 def _weighted(counted: DataFrame, column: str, n: int) -> tuple[DataFrame, list[float]]:
     """(table of each value of the column and its log P(value | language), the same of a value not met), from counts k by guess."""
     seen = counted.where(F.col(column).isNotNull())
@@ -190,13 +214,13 @@ def _said(column: str, unmet: list[float], zero: Column) -> Column:
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    found = identify(docs, declared=F.col("lang"), host=F.col("source"))
-    return found.select(F.col("_row.doc_id").alias("doc_id"), "language", F.round("posterior", 6).alias("posterior"), "kept")
+    found = identify(docs, declared=F.col("lang"), host=F.col("source"), keep=F.col("doc_id"))
+    return found.select(F.col("_row").alias("doc_id"), "language", F.round("posterior", 6).alias("posterior"), "kept")
 
 
 def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same on web pages, with all kinds of evidence: text, the html tag's language, host and address suffix."""
     pages = table(spark, sf_dir, "pages")
     bare = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
-    found = identify(pages, declared=declared_in(F.col("html")), host=host_of(F.col("url")), text=bare)
-    return found.select(F.col("_row.page_id").alias("page_id"), "language", F.round("posterior", 6).alias("posterior"), "kept")
+    found = identify(pages, declared=declared_in(F.col("html")), host=host_of(F.col("url")), text=bare, keep=F.col("page_id"))
+    return found.select(F.col("_row").alias("page_id"), "language", F.round("posterior", 6).alias("posterior"), "kept")

@@ -5,8 +5,8 @@ may link share some pieces of their bits: with `pieces` pieces and radius r, two
 or fewer agree on at least pieces - r pieces, so each fingerprint is filed under every choice of that
 many pieces. Within a file the bit planes are stored vertically, 64 fingerprints to a word; distances of
 a whole block are kept as carry-save counters (three bits and an overflow), and a block is given up as
-soon as every distance in it exceeds the radius. A file that has grown large is split by hash into
-chunks and compared chunk against chunk, so no file is one task. Per comparison only a spanning forest
+soon as every distance in it exceeds the radius. A file that has grown large is dealt again by its other bits; what
+is large still is split by hash into chunks and compared chunk against chunk, so no file is one task. Per comparison only a spanning forest
 of the links goes on, and components are found by star steps over written tables.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; copies share a
@@ -135,28 +135,49 @@ def pieces_for(n: int, radius: int) -> int:
     return pieces
 
 
-def near_links(distinct: DataFrame, radius: int = 4, pieces: int | None = None, chunk: int = CHUNK) -> DataFrame:
-    """u, v: links among distinct fingerprints (column fp) that connect all within the radius."""
-    pieces = pieces or pieces_for(distinct.count(), radius)
+def bit_masks(bits: list[int]) -> int:
+    mask = sum(1 << b for b in bits)
+    return mask - ((mask >> 63) << 64)
+
+
+def files(distinct: DataFrame, radius: int, pieces: int, chunk: int) -> DataFrame:
+    """fp, f: the files of each fingerprint, so that any two within the radius share one.
+
+    Such two agree in pieces - radius pieces of their bits. A file that is large all the same is dealt again by the bits it
+    was not dealt by: in radius + 1 parts of these, one is equal too. Files are known by a hash of all that.
+    """
     bounds = [64 * i // pieces for i in range(pieces + 1)]
-    keys = []
+    keys, again = [], []
     for t, chosen in enumerate(combinations(range(pieces), pieces - radius)):
-        mask = sum(((1 << bounds[i + 1]) - (1 << bounds[i])) for i in chosen)
-        mask -= (mask >> 63) << 64
-        keys.append(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(mask)).alias("k")))
-    filed = distinct.select("fp", F.explode(F.array(*keys)).alias("f")).select("fp", "f.t", "f.k")
-    sizes = filed.groupBy("t", "k").count().where("count > 1").withColumn("chunks", F.ceil(F.col("count") / chunk).cast("int"))
-    filed = filed.join(sizes.drop("count"), ["t", "k"]).withColumn("c", F.expr("cast(pmod(xxhash64(fp), chunks) as int)"))
+        same = [b for i in chosen for b in range(bounds[i], bounds[i + 1])]
+        rest = [b for b in range(64) if b not in same]
+        keys.append(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(bit_masks(same))).alias("k")))
+        parts = [rest[j :: radius + 1] for j in range(radius + 1)]
+        again.append(F.array(*[F.lit(bit_masks(part)) for part in parts]))
+    filed = distinct.select("fp", F.explode(F.array(*keys)).alias("x")).select("fp", "x.t", F.xxhash64("x.t", "x.k").alias("f"))
+    sizes = filed.groupBy("f").count().where("count > 1")
+    sized = filed.join(sizes, "f")
+    small = sized.where(F.col("count") <= 4 * chunk).select("fp", "f")
+    masks = F.element_at(F.array(*again), F.col("t") + 1)
+    finer = F.transform(masks, lambda m, j: F.xxhash64(F.col("f"), j, F.col("fp").bitwiseAND(m)))
+    return small.union(sized.where(F.col("count") > 4 * chunk).select("fp", F.explode(finer).alias("f")))
+
+
+def near_links(distinct: DataFrame, radius: int = 4, pieces: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """u, v: links among distinct fingerprints (column fp) that connect all within the radius."""
+    filed = files(distinct, radius, pieces or pieces_for(distinct.count(), radius), chunk)
+    sizes = filed.groupBy("f").count().where("count > 1").withColumn("chunks", F.ceil(F.col("count") / chunk).cast("int"))
+    filed = filed.join(sizes.drop("count"), "f").withColumn("c", F.expr("cast(pmod(xxhash64(fp), chunks) as int)"))
     # every pair of chunks of a file is one comparison; a chunk goes to those that it takes part in
     pairs = F.expr("transform(sequence(0, chunks - 1), j -> struct(least(c, j) as i, greatest(c, j) as j))")
-    filed = filed.select("fp", "t", "k", "c", F.explode(pairs).alias("p")).select("t", "k", "p.i", "p.j", F.expr("c <> p.i").alias("second"), "fp")
-    dealt = filed.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "second", "fp")
+    filed = filed.select("fp", "f", "c", F.explode(pairs).alias("p")).select("f", "p.i", "p.j", F.expr("c <> p.i").alias("second"), "fp")
+    dealt = filed.repartition("f", "i", "j").sortWithinPartitions("f", "i", "j", "second", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def links(block: list[np.ndarray]) -> list[tuple[int, int]]:
-            i, j, second, fp = block[2][0], block[3][0], block[4], block[5].view(np.uint64)
+            i, j, second, fp = block[1][0], block[2][0], block[3], block[4].view(np.uint64)
             if i == j:
                 queries = values = fp
                 shift = 0
@@ -167,7 +188,7 @@ def near_links(distinct: DataFrame, radius: int = 4, pieces: int | None = None,
             right = np.asarray(right, dtype=np.int64) + shift
             left = np.asarray(left, dtype=np.int64)
             keep = left < right
-            signed = block[5]
+            signed = block[4]
             return [(int(signed[a]), int(signed[b])) for a, b in forest(len(fp), left[keep].tolist(), right[keep].tolist())]
 
         def found(rows: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -180,7 +201,7 @@ def near_links(distinct: DataFrame, radius: int = 4, pieces: int | None = None,
             if held:
                 columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
             change = np.zeros(len(columns[0]), dtype=bool)
-            for c in columns[:4]:
+            for c in columns[:3]:
                 change[1:] |= c[1:] != c[:-1]
             bounds = [0, *np.flatnonzero(change).tolist()]
             rows = []
@@ -193,19 +214,21 @@ def near_links(distinct: DataFrame, radius: int = 4, pieces: int | None = None,
         held = []
         give_back()
 
-    return dealt.selectExpr("t", "k", "i", "j", "cast(second as int) as second", "fp").mapInArrow(run, "u long, v long")
+    return dealt.selectExpr("f", "i", "j", "cast(second as int) as second", "fp").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, fp, component_id: the smallest id that can be reached over links."""
     marked = written(fingerprints(docs, id_column, text_column, width), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = written(components(near_links(marked.select("fp").distinct(), radius)), "roots").selectExpr("node as fp", "root")
+    # nodes are in the order of their ids, those without one last: so a component's smallest node has its id
+    named = written(distinct.select("fp", F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "fp").alias("node")), "nodes")
+    links = near_links(named.select("fp"), radius)
+    links = links.join(named.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u").join(named.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v")
+    roots = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select("node.fp", F.col("root.id").alias("root")), "roots")
     # what links to nothing else is its own root
-    rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    ids = named.join(roots, "fp", "left").select("fp", F.coalesce("root", "node.id").alias("component_id"))
+    return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

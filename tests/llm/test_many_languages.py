@@ -12,7 +12,7 @@ def test_rare_labels_are_languages_too(spark):
         own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)]
         rows += [(f"l{i:02}", " ".join(rng.choice(own) for _ in range(30))) for _ in range(12 if i < 64 else 6)]
     docs = spark.createDataFrame(rows, "lang string, text string")
-    found = language.identify(docs, label=F.col("lang")).select("_row.lang", "language").collect()
+    found = language.identify(docs, label=F.col("lang"), keep=F.col("lang")).select(F.col("_row").alias("lang"), "language").collect()
     assert len(found) == len(rows) and all(r.lang == r.language for r in found)
 
 
