@@ -75,7 +75,7 @@ def test_fusion_against_plain_version(spark):
     rng = random.Random(9)
     rows = [(i, t, k) for i, t, k in rows_of(60, 0)]
     hosts = [f"{x}.{e}" for x in "abc" for e in ("de", "fr", "uk")] + [None, "a.de"]
-    rows = [(i, t if i % 9 else rng.choice(["xqz", "haus the", "", None]), k if i % 4 else rng.choice(["de", "zz", None]), rng.choice(hosts), k if i % 2 else None) for i, t, k in rows] + [(7, rows[7][1], "fr", "a.de", None)] * 2
+    rows = [(i, t if i % 7 else rng.choice(["xqz", "haus the", "", None]), k if i % 4 else rng.choice(["de", "zz", None]), {"en": "a.uk", "de": "a.de", "fr": "b.fr"}[k] if i % 5 else rng.choice(hosts), k if i % 2 else None) for i, t, k in rows] + [(7, rows[7][1], "fr", "a.de", None)] * 2
     frame = spark.createDataFrame(rows, "doc_id long, text string, said string, host string, label string")
     got = sorted((r._row, r.language, r.posterior, r.kept) for r in L.identify(frame, declared=F.col("said"), host=F.col("host"), label=F.col("label"), keep=F.col("doc_id")).collect())
     names, logs = L.fit(frame.select("label", "text"))
