@@ -59,18 +59,26 @@ _made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 @contextmanager
 def run_of_tables() -> Iterator[list[str]]:
-    """Within it, written() notes its tables in the list that is given."""
+    """Within it, written() notes its tables in the list that is given; what is left in it at the end the run around it gets."""
     held: list[str] = []
     token = _made.set(held)
     try:
         yield held
     finally:
         _made.reset(token)
+        around = _made.get()
+        if around is not None:
+            around += held
 
 
-def release(spark: SparkSession, made: list[str], keep: int = 0) -> None:
-    """Remove these tables but for the last `keep`; nothing may read them later."""
-    for path in made[: len(made) - keep]:
+def few(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """df marked for broadcast if it is counted to have at most so many rows; it should be thin, and written before."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def release(spark: SparkSession, made: list[str], keep: int = 0, first: int = 0) -> None:
+    """Remove these tables but for the first `first` and the last `keep`; nothing may read them later."""
+    for path in made[first : len(made) - keep]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
         made.remove(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import written
+from quayside.llm.common import release, run_of_tables, written
 
 
 def _round(edges: DataFrame, small: bool) -> DataFrame:
@@ -31,14 +31,18 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps, each written to the shared folder, until a step changes no link.
     Links with a null end, loops and repeats are left out; no links give no rows.
     """
-    edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    n = edges.count()
-    while n:
-        last, before = edges, n
-        edges = written(_round(_round(last, False), True), "links")
+    spark = links.sparkSession
+    with run_of_tables() as made:
+        edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
         n = edges.count()
-        # both hold distinct links: as many, and none that was not there, is the same state
-        if n == before and edges.join(last, ["u", "v"], "left_anti").isEmpty():
-            break
+        while n:
+            last, before = edges, n
+            edges = written(_round(_round(last, False), True), "links")
+            n = edges.count()
+            # both hold distinct links: as many, and none that was not there, is the same state
+            settled = n == before and edges.join(last, ["u", "v"], "left_anti").isEmpty()
+            release(spark, made, keep=1)
+            if settled:
+                break
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.selectExpr("u as node", "v as root").union(roots.selectExpr("node", "node as root"))

@@ -59,9 +59,11 @@ def dedup(docs: DataFrame, min_sites: int = MIN_SITES, id_column: str = "doc_id"
     lines = written(lines, "lines")
     common = written(boilerplate(lines, min_sites), "boilerplate")
     found = lines.join(common, ["h", "g"]).where("not (_key = first._key and at = first.at)")
-    gone = found.groupBy("_key").agg(F.collect_set("at").alias("gone"))
-    joined = rows.join(gone, "_key", "left").withColumn("_lines", split_lines(F.col("_text")))
-    kept = F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    gone = found.groupBy(F.col("_key").alias("_k"), F.col("_id").alias("_i")).agg(F.collect_set("at").alias("gone"))
+    # by hash and id, so that rows of one hash do not lose each other's lines
+    joined = rows.join(gone, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")), "left").withColumn("_lines", split_lines(F.col("_text")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("gone"))
+    kept = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
     return joined.select(
         "_row",
         F.when(F.col("_text").isNull() | F.col("gone").isNull(), F.col("_text")).otherwise(kept).alias("kept_text"),

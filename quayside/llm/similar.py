@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import give_back as trim, small_batches, written
+from quayside.llm.common import give_back as trim, release, run_of_tables, small_batches, written
 from quayside.llm.components import components
 from quayside.llm.simhash import forest, planes
 
@@ -244,11 +244,14 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("row"), F.col(text_column).alias("text"))
     marked = rows.mapInArrow(marks, "doc_id long, row long, node long, fp long, keys array<long>")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least")
-    nodes = written(marked.groupBy("node").agg(least, F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
-    filed = nodes.select(F.explode("keys").alias("k"), "node", F.col("fp").alias("payload"))
-    meeting = written(components(linked(filed, FILE_CHUNK, near_fingerprints)), "meeting")
-    chosen = nodes.join(meeting, "node").select(F.col("root").alias("k"), "node", F.col("least.doc_id").alias("id"), F.col("least.row").alias("of"))
-    texts = rows.join(chosen, (F.col("row") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("k", "node", "text")
-    held = texts.mapInArrow(sets, "k long, node long, payload binary").dropDuplicates(["k", "node"])
-    groups = written(components(linked(written(held, "sets"), SET_CHUNK, similar_sets)), "groups")
+    with run_of_tables() as made:
+        nodes = written(marked.groupBy("node").agg(least, F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+        filed = nodes.select(F.explode("keys").alias("k"), "node", F.col("fp").alias("payload"))
+        meeting = written(components(linked(filed, FILE_CHUNK, near_fingerprints)), "meeting")
+        release(docs.sparkSession, made, keep=1, first=1)
+        chosen = nodes.join(meeting, "node").select(F.col("root").alias("k"), "node", F.col("least.doc_id").alias("id"), F.col("least.row").alias("of"))
+        texts = rows.join(chosen, (F.col("row") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("k", "node", "text")
+        held = texts.mapInArrow(sets, "k long, node long, payload binary").dropDuplicates(["k", "node"])
+        groups = written(components(linked(written(held, "sets"), SET_CHUNK, similar_sets)), "groups")
+        release(docs.sparkSession, made, keep=1, first=1)  # the shingle sets and all links
     return nodes.select("node", "least").join(groups, "node", "left").select("node", "least", F.coalesce("root", "node").alias("component"))
