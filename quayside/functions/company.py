@@ -20,6 +20,8 @@ DIGRAPHS = [("sch", "s"), ("shh", "s"), ("ch", "c"), ("sh", "s"), ("zh", "j"), (
 TO_CYRILLIC_DIGRAPHS = [("shch", "щ"), ("sch", "щ"), ("sh", "ш"), ("ch", "ч"), ("zh", "ж"), ("kh", "х"), ("ts", "ц"), ("yu", "ю"), ("ya", "я"), ("yo", "ё"), ("ph", "ф"), ("ck", "к"), ("ee", "и"), ("oo", "у"), ("x", "кс")]
 TO_CYRILLIC_FROM, TO_CYRILLIC = "abcdefghijklmnopqrstuvwyz", "абкдефгхижклмнопкрстуввйз"
 ACTIVITY = {"manufacturer": [*range(10, 12), *range(13, 34)], "wholesale": [46], "retail": [47], "contractor": [41, 42, 43]}
+LABELLED_ID = r"(?iu)(?<![\p{L}\p{N}_])(?:ИНН|INN)(?![\p{L}\p{N}_])\s*(?:/\s*КПП\s*)?[:№\-—\s]*([0-9][0-9\s-]{8,14}[0-9])(?![0-9])"
+LABELLED_REGISTRATION = r"(?iu)(?<![\p{L}\p{N}_])(?:ОГРНИП|ОГРН)(?![\p{L}\p{N}_])\s*[:№\-—\s]*([0-9][0-9\s\-]{11,17}[0-9])(?![0-9])"
 # End of fixed values.
 
 
@@ -57,12 +59,12 @@ def valid_registration(number: Column) -> Column:
 
 def labelled_ids(text: Column) -> Column:
     """Numbers behind a tax-id label, blanks and dashes taken out, checksum right, each once."""
-    found = F.regexp_extract_all(text, F.lit(r"(?iu)(?<![\p{L}\p{N}_])(?:ИНН|INN)(?![\p{L}\p{N}_])\s*(?:/\s*КПП\s*)?[:№\-—\s]*([0-9][0-9\s-]{8,14}[0-9])(?![0-9])"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(LABELLED_ID), F.lit(1))
     return F.array_distinct(F.filter(F.transform(found, digits_only), valid_company_id))
 
 
 def labelled_registrations(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(r"(?iu)(?<![\p{L}\p{N}_])(?:ОГРНИП|ОГРН)(?![\p{L}\p{N}_])\s*[:№\-—\s]*([0-9][0-9\s\-]{11,17}[0-9])(?![0-9])"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(LABELLED_REGISTRATION), F.lit(1))
     return F.array_distinct(F.filter(F.transform(found, digits_only), valid_registration))
 
 

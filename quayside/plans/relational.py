@@ -87,8 +87,9 @@ def day_and_range(t: Tables) -> DataFrame:
 def null_safe_peers(t: Tables) -> DataFrame:
     """Equality in which null equals null."""
     keyed = t.supplier.select("s_suppkey", "s_nationkey", F.nullif(F.col("s_nationkey") % 5, F.lit(0)).alias("k"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    return a.join(b, F.col("a.k").eqNullSafe(F.col("b.k")) & (F.col("a.s_nationkey") == F.col("b.s_nationkey"))).groupBy(F.col("a.s_suppkey").alias("s_suppkey")).agg(F.count("*").alias("peers"))
+    # peers are counted once a key; a pair of rows is never made
+    sizes = keyed.groupBy(F.col("k").alias("p_k"), F.col("s_nationkey").alias("p_nation")).agg(F.count("*").alias("peers"))
+    return keyed.join(sizes, F.col("k").eqNullSafe(F.col("p_k")) & (F.col("s_nationkey") == F.col("p_nation"))).select("s_suppkey", "peers")
 
 
 @query("JOI04", sql="SELECT c.c_custkey, count(o.o_orderkey) AS n FROM customer c LEFT JOIN supplier s ON s.s_suppkey = c.c_custkey LEFT JOIN orders o ON o.o_custkey = coalesce(s.s_suppkey, c.c_custkey + 1) GROUP BY 1")

@@ -27,7 +27,11 @@ def stream(t: Tables) -> DataFrame:
 
 def finished(t: Tables, frame: DataFrame, complete: bool = False) -> DataFrame:
     """All rows that the stream puts out until its input ends; with complete, of each update batch as well."""
-    root = t._spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quayside-")
+    root = t._spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if t._spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="quayside-")
     place = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:

@@ -32,10 +32,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return reader.parquet(f"{folder}/{name}.parquet")
 
 
-def database(spark: SparkSession, url: str, name: str, key: str | None = None, bounds: tuple[int, int] = (0, 1), partitions: int = 8) -> DataFrame:
-    """A database table over JDBC, read in parallel by ranges of a numeric key."""
+def database(spark: SparkSession, url: str, name: str, key: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 8) -> DataFrame:
+    """A database table over JDBC, read in parallel by ranges of a numeric key; its bounds are asked for if not given."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", name)
     if key:
+        if bounds is None:
+            low, high = spark.read.format("jdbc").option("url", url).option("query", f"SELECT min({key}) AS low, max({key}) AS high FROM {name}").load().first()
+            bounds = (int(low or 0), int(high or 0) + 1)
         reader = reader.option("partitionColumn", key).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", partitions)
     return reader.load()
 

@@ -37,19 +37,11 @@ def status_fold(stream: DataFrame) -> DataFrame:
     The state is three times a key, whatever the order in which events come.
     """
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, error, reply = state.get if state.exists else (0.0, 0.0, 0.0)
-        for frame in frames:
-            seconds = frame["at"]
-            last = max(last, float(seconds.max()))
-            error = max([error, *seconds[frame["event_type"] == "error"]])
-            reply = max([reply, *seconds[frame["event_type"] == "purchase"]])
-        state.update((last, float(error), float(reply)))
-        status = "failed" if error > reply else "replied" if reply else "sent"
-        yield pd.DataFrame({"user_id": [key[0]], "last_at": [last], "status": [status]})
-
-    rows = stream.select("user_id", F.col("ts").cast("double").alias("at"), "event_type")
-    return rows.groupBy("user_id").applyInPandasWithState(fold, "user_id long, last_at double, status string", "last double, error double, reply double", "update", GroupStateTimeout.NoTimeout)
+    at = F.col("ts").cast("double")
+    latest = lambda kind: F.coalesce(F.max(F.when(F.col("event_type") == kind, at)), F.lit(0.0))
+    times = stream.groupBy("user_id").agg(F.max(at).alias("last_at"), latest("error").alias("error"), latest("purchase").alias("reply"))
+    status = F.when(F.col("error") > F.col("reply"), "failed").when(F.col("reply") > 0, "replied").otherwise("sent")
+    return times.select("user_id", "last_at", status.alias("status"))
 
 
 def breaker(stream: DataFrame) -> DataFrame:
