@@ -318,8 +318,11 @@ class Encoder:
         whole = [find(text) if crosses(text) else None for text in texts]
         split = [text.split(" ") if words is None else None for text, words in zip(texts, whole, strict=True)]
         heads = [find(parts[0]) if parts else words for parts, words in zip(split, whole, strict=True)]
-        new = {x for parts in split if parts for x in set(parts[1:])}
-        cut = {x: after_space(x) for x in new if x not in self.tails}
+        new: set[str] = set()
+        for parts in split:
+            if parts:
+                new.update(parts[1:])
+        cut = {x: after_space(x) for x in new.difference(self.tails)}
         self.learn({w for words in [*cut.values(), *heads] for w in words})
         for x, words in cut.items():
             self.tails[x] = self.ids(words)
