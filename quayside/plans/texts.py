@@ -120,7 +120,7 @@ def number_confidence(t: Tables) -> DataFrame:
 
 @query("TXT35", "TXT69", "TXT72", "PRJ15", "RDM01")
 def page_texts(t: Tables) -> DataFrame:
-    """Visible text of pages, an approximation by patterns; its exact form by a parser is page_texts_parsed."""
+    """Visible text of pages, an approximation by patterns; operators.extraction has a parser."""
     return t.pages.select("page_id", messages.visible_text(F.col("html")).alias("text"))
 
 
