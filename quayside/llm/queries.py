@@ -16,6 +16,9 @@ MODULES = {
     "op8_simhash_near_dedup": "simhash",
     "op9_personal_data": "pii",
     "op10_token_counts": "token_counts",
+    "op11_source_divergence": "divergence",
+    "op12_minhash_near_dedup": "minhash",
+    "op13_vector_codes": "vector_codes",
 }
 
 

@@ -53,4 +53,20 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, content), '')) AS loss_sha256,
                CAST(sum(12 + length(role) + 1 + length(content) + 11) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op11_source_divergence": """
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM t GROUP BY ALL),
+        v AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM c GROUP BY 1, 2 HAVING sum(docs) >= 3),
+        lt AS (SELECT lang, count(*) AS v, CAST(sum(n) AS HUGEINT) AS n FROM v GROUP BY 1),
+        k AS (SELECT c.lang, c.source, c.term, CAST(c.n AS HUGEINT) AS n FROM c JOIN v ON c.lang = v.lang AND c.term = v.term),
+        g AS (SELECT x.lang, x.source, CAST(coalesce(sum(k.n), 0) AS HUGEINT) AS n FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN k ON k.lang = x.lang AND k.source = x.source GROUP BY 1, 2),
+        p AS (SELECT v.lang, g.source, v.term, coalesce(k.n, 0) AS n, 1 + 1000000000 * (coalesce(k.n, 0) + 1) // (g.n + lt.v) AS p, 1 + 1000000000 * (v.n + 1) // (lt.n + lt.v) AS q
+              FROM v JOIN lt ON lt.lang = v.lang JOIN g ON g.lang = v.lang LEFT JOIN k ON k.lang = v.lang AND k.source = g.source AND k.term = v.term),
+        s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+        r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+        o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+        SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 200""",
 }
