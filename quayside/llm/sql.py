@@ -14,6 +14,20 @@ def shingles(words: str, size: str) -> str:
     return f"list_distinct(list_transform(range(1, greatest(len({words}) - {size} + 2, 1)), lambda i: array_to_string({words}[i : i + {size} - 1], ' ')))"
 
 
+def _lloyd(rounds: int) -> str:
+    """Common tables a0, b1, a1, ...: indexes by the entries b, then entries by the indexes a."""
+
+    def assign(i: int) -> str:
+        return f"""a{i} AS MATERIALIZED (SELECT r, k, min([d, e]) AS m FROM (SELECT p.r, p.k, b.e, CAST(list_sum(list_transform(list_zip(p.y, b.y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM p JOIN b{i} b ON p.k = b.k) GROUP BY r, k)"""
+
+    def update(i: int) -> str:
+        return f"""m{i} AS (SELECT k, e, list(CAST((s - ((s % n + n) % n)) // n AS BIGINT) ORDER BY j) AS y FROM (SELECT a.k, a.m[2] AS e, u.j, CAST(sum(p.y[u.j]) AS BIGINT) AS s, count(*) AS n
+            FROM a{i} a JOIN p ON p.r = a.r AND p.k = a.k CROSS JOIN LATERAL (SELECT unnest(range(1, len(p.y) + 1)) AS j) u GROUP BY ALL) GROUP BY k, e),
+        b{i + 1} AS MATERIALIZED (SELECT b.k, b.e, coalesce(m.y, b.y) AS y FROM b{i} b LEFT JOIN m{i} m ON m.k = b.k AND m.e = b.e)"""
+
+    return ",\n        ".join([x for i in range(rounds) for x in (assign(i), update(i))] + [assign(rounds)])
+
+
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": f"""
         WITH i AS (SELECT item_id, w, least(5, len(w)) AS k FROM (SELECT item_id, {SHINGLE_WORDS.format("coalesce(text, '')")} AS w FROM benchmark) WHERE len(w) > 0),
@@ -69,4 +83,13 @@ ORACLES: dict[str, str] = {
               UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q),
         o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
         SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 200""",
+    "op13_vector_codes": f"""
+        WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT r, t.k, x[t.k * len(x) // 4 + 1 : (t.k + 1) * len(x) // 4] AS y FROM v, (SELECT unnest(range(4)) AS k) t),
+        b0 AS MATERIALIZED (SELECT k, r - 1 AS e, y FROM p WHERE r <= 256),
+        {_lloyd(4)},
+        c AS (SELECT r, string_agg(lower(lpad(to_hex(m[2]), 2, '0')), '' ORDER BY k) AS code, CAST(sum(m[1]) AS BIGINT) AS error FROM a4 GROUP BY r),
+        h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY k, e)) AS h FROM b4)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h.h AS codebooks_sha256 FROM v JOIN c ON c.r = v.r, h""",
 }
