@@ -92,4 +92,15 @@ ORACLES: dict[str, str] = {
         c AS (SELECT r, string_agg(lower(lpad(to_hex(m[2]), 2, '0')), '' ORDER BY k) AS code, CAST(sum(m[1]) AS BIGINT) AS error FROM a4 GROUP BY r),
         h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY k, e)) AS h FROM b4)
         SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h.h AS codebooks_sha256 FROM v JOIN c ON c.r = v.r, h""",
+    "op12_minhash_near_dedup": f"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+        s AS MATERIALIZED (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')))) END AS x FROM d),
+        n AS MATERIALIZED (SELECT sha256(array_to_string(x, chr(10))) AS node, any_value(x) AS x, min(doc_id) AS least FROM s WHERE len(x) > 0 GROUP BY 1),
+        e AS MATERIALIZED (SELECT node, len(x) AS n, unnest(x) AS x FROM n),
+        l AS MATERIALIZED (SELECT a.node AS u, b.node AS v FROM e a JOIN e b ON a.x = b.x AND a.node < b.node GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        b AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+        t(u, v) AS (SELECT node, node FROM n UNION SELECT t.u, b.v FROM t JOIN b ON t.v = b.u),
+        c AS (SELECT t.u AS node, min(n.least) AS component_id FROM t JOIN n ON n.node = t.v GROUP BY 1)
+        SELECT s.doc_id, len(s.x) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(c.component_id, s.doc_id) AS kept
+        FROM s LEFT JOIN c ON len(s.x) > 0 AND c.node = sha256(array_to_string(s.x, chr(10)))""",
 }
