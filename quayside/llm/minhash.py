@@ -6,11 +6,14 @@ order of rarity, two nodes that agree in MATCHES coordinates share one of the fi
 (the prefix), so only these are looked up, and what few share comes first: texts of one template that agree in less
 than that do not meet at all. What nobody else has is the rarest, so a node that shares fewer than MATCHES pairs is out.
 
-Links are found in two steps. First, each node proposes itself to one leader: of the smallest nodes of its prefix' postings
-the one with which it collides most often. Whole sets decide. So a group of n near copies takes n comparisons, not n * n. Then
-the postings of the prefix in which several components meet are merged in chunks. The long lists beyond the prefix are not
-merged: their collisions are counted on a byte of each coordinate, in steps, and a pair is skipped as soon as what is
-left of the signature cannot bring it to MATCHES. Pairs that reach it are compared by their whole sets again.
+Links are found in steps. In each turn the postings of the prefix in which several components meet name a leader (first the
+node whose coordinates are the most common ones, which lies in the middle of its copies; then another node of the largest
+component), and each node proposes itself to the leader that it collides with most often; whole sets decide. So a group of n near
+copies takes about n comparisons, not n * n. What is open after TURNS turns is settled completely: the postings in which several
+components meet are merged in chunks. The long lists beyond the prefix are not merged: their collisions are counted on a byte
+of each coordinate, in steps, and a pair is skipped as soon as what is left of the signature cannot bring it to MATCHES.
+A node of the smaller component and the larger component that are left meet once, whatever number of pairs they have:
+blocks of such nodes are held as one sorted list of shingles, which the sets of the component pass through, until one is similar.
 
 Two texts of similarity 0.85 agree in fewer than 80 of 128 coordinates with probability 4e-9, more similar ones with less;
 such a pair is missed unless others connect it. No link stands unchecked.
@@ -39,8 +42,10 @@ WIDTH = 3
 #: Similarity as a fraction of whole numbers.
 SIMILARITY = (85, 100)
 COORDINATES, MATCHES = 128, 80
-#: Nodes of a posting that are merged together; partners of a node that are compared in one task.
+#: Nodes of a posting that are merged together; partners of a leader that are compared in one task.
 CHUNK, PARTNERS = 512, 512
+#: Turns of proposals; nodes and bytes of a block that a component passes, and members of the component that pass it in one task.
+TURNS, BLOCK, BLOCK_BYTES, MEMBERS = 3, 256, 32 << 20, 1024
 #: Coordinates that are compared before pairs are skipped.
 STEP = 32
 
@@ -68,15 +73,17 @@ def similar(a: np.ndarray, b: np.ndarray, share: tuple[int, int] = SIMILARITY) -
 
 
 def mergeable(payload: pa.Array, shift: int) -> list[tuple[int, int]]:
-    """Pairs of nodes of different components that agree in MATCHES bytes of their signatures or more, as those with MATCHES equal coordinates do.
+    """(a, b): node a agrees with some node of b's component in MATCHES bytes of the signature or more, as those with MATCHES equal coordinates do.
 
-    A payload: the component (8 bytes), then a byte a coordinate.
+    b stands for its component, which is larger than a's, or as large and of greater number. A payload: the component and its size
+    (8 bytes each), then a byte a coordinate.
     """
-    raw = np.frombuffer(b"".join(payload.to_pylist()), dtype=np.uint8).reshape(len(payload), 8 + COORDINATES)
-    component, sig = np.ascontiguousarray(raw[:, :8]).view("<i8")[:, 0], raw[:, 8:]
-    found: list[tuple[int, int]] = []
+    raw = np.frombuffer(b"".join(payload.to_pylist()), dtype=np.uint8).reshape(len(payload), 16 + COORDINATES)
+    component, size = (np.ascontiguousarray(raw[:, i : i + 8]).view("<i8")[:, 0] for i in (0, 8))
+    sig = raw[:, 16:]
     if (component == component[0]).all():
-        return found
+        return []
+    found: dict[tuple[int, int], tuple[int, int]] = {}
     for a in range(shift or len(raw)):
         first = shift or a + 1
         others = first + np.flatnonzero(component[first:] != component[a])
@@ -87,8 +94,10 @@ def mergeable(payload: pa.Array, shift: int) -> list[tuple[int, int]]:
             others, count = others[open_], count[open_]
             if not len(others):
                 break
-        found += [(a, int(b)) for b in others]
-    return found
+        for b in others.tolist():
+            x, y = (a, b) if (size[a], component[a]) < (size[b], component[b]) else (b, a)
+            found.setdefault((x, int(component[y])), (x, y))
+    return list(found.values())
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -136,40 +145,122 @@ def nodes_of(docs: DataFrame, width: int, id_column: str, text_column: str) -> D
 
 
 def prefixes(nodes: DataFrame) -> DataFrame:
-    """node, p: the postings of each node's prefix."""
+    """node, p, weight: the postings of each node's prefix; weight adds up how many nodes share each of its coordinates."""
     pair = F.shiftleft(F.col("value").cast("long"), 7).bitwiseOR(F.col("at").cast("long"))
     posted = nodes.select("node", F.posexplode("sig").alias("at", "value")).select("node", pair.alias("p"))
     shared = posted.groupBy("p").agg(F.count("*").alias("n")).where("n > 1")
-    lists = posted.join(shared, "p").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "p"))).alias("list"))  # COORDINATES at most
+    lists = posted.join(shared, "p").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "p"))).alias("list"), F.sum("n").alias("weight"))  # COORDINATES at most
     # what nobody shares is rarest, so it fills the prefix first; of the shared postings all but the last MATCHES - 1 are in it
-    inside = lists.where(F.size("list") >= MATCHES).select("node", F.explode(F.expr(f"slice(list, 1, size(list) - {MATCHES - 1})")).alias("x"))
-    return inside.select("node", "x.p")
+    inside = lists.where(F.size("list") >= MATCHES).select("node", "weight", F.explode(F.expr(f"slice(list, 1, size(list) - {MATCHES - 1})")).alias("x"))
+    return inside.select("node", "x.p", "weight")
 
 
-def proposals(prefix: DataFrame) -> DataFrame:
-    """u, v: each node v with the one leader u that it collides with most often, of the smallest nodes of its postings."""
-    least = prefix.groupBy("p").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1")
-    met = prefix.join(least, "p").where("node <> u").groupBy("node", "u").agg(F.count("*").alias("n"))
+def rooted(prefix: DataFrame, known: DataFrame) -> DataFrame:
+    """prefix with root and size, of the component that the node is known to be in (known: node, root)."""
+    sized = known.join(known.groupBy("root").agg(F.count("*").alias("size")), "root")
+    return prefix.join(sized, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("size", F.coalesce("size", F.lit(1)))
+
+
+def proposals(postings: DataFrame, turn: int) -> DataFrame:
+    """u, v: each node v with the leader u that it collides with most often, of those its postings name. postings: as of rooted()."""
+    worth = F.col("weight") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    leader = F.max(F.struct("size", worth.alias("worth"), F.col("node").alias("u"), F.col("root").alias("of"))).alias("leader")
+    several = postings.groupBy("p").agg(leader, F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("p", "leader.u", "leader.of")
+    met = postings.join(several, "p").where("root <> of").groupBy("node", "u").agg(F.count("*").alias("n"))
     return met.groupBy(F.col("node").alias("v")).agg(F.max_by("u", F.struct("n", "u")).alias("u")).select("u", "v")
 
 
-def merged(prefix: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
-    """u, v: the pairs of different components (known: node, root) that share MATCHES coordinates or may do so."""
-    rooted = prefix.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = rooted.groupBy("p").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("p")
-    meeting = written(rooted.join(several, "p", "left_semi"), "meeting")
+def joined_roots(known: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root after more links between nodes; known has the nodes that were linked before."""
+    root = lambda end: known.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    between = links.join(root("u"), "u", "left").join(root("v"), "v", "left")
+    ends = between.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
+    now = written(components(ends), "roots")
+    moved = known.withColumnRenamed("root", "was").join(now.select(F.col("node").alias("was"), F.col("root").alias("is")), "was", "left").select("node", F.coalesce("is", "was").alias("root"))
+    return written(moved.union(now.join(known.select("node"), "node", "left_anti").select("node", "root")), "known")
+
+
+def open_meetings(postings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """u, root: nodes that may be similar to one of a larger component. postings: as of rooted()."""
+    several = postings.groupBy("p").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("p")
 
     def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            sig = batch.column(3).flatten().to_numpy().reshape(n, COORDINATES).astype(np.uint8)
-            root = batch.column(2).to_numpy().astype("<i8").view(np.uint8).reshape(n, 8)
-            rows = np.concatenate([root, sig], axis=1)
+            sig = batch.column(4).flatten().to_numpy().reshape(n, COORDINATES).astype(np.uint8)
+            parts = [batch.column(i).to_numpy().astype("<i8").view(np.uint8).reshape(n, 8) for i in (2, 3)]
+            rows = np.concatenate([*parts, sig], axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], ["k", "node", "payload"])
 
-    held = meeting.join(nodes.select("node", "sig"), "node").select(F.col("p").alias("k"), "node", "root", "sig")
+    held = postings.join(several, "p", "left_semi").join(nodes.select("node", "sig"), "node").select(F.col("p").alias("k"), "node", "root", "size", "sig")
     found = linked(held.mapInArrow(payloads, "k long, node long, payload binary"), CHUNK, mergeable)
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    roots = postings.select(F.col("node").alias("v"), "root").distinct()
+    return found.distinct().join(roots, "v").select("u", "root").distinct()
+
+
+def settled(meetings: DataFrame, known: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """u, v: for each meeting (u, root) with a similar pair one link at least."""
+    own = sets.select(F.col("node").alias("u"), F.col("payload"))
+    asked = meetings.join(own.select("u", F.octet_length("payload").alias("bytes")), "u")
+    many = asked.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    members = sets.select(F.col("node").alias("v"), "payload").join(known.select(F.col("node").alias("v"), "root"), "v", "left").withColumn("root", F.coalesce("root", "v")).join(many, "root")
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    members = members.join(sizes, "root").select("root", F.expr("cast(pmod(xxhash64(v), parts) as int)").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), F.col("v").alias("node"), "payload")
+    asking = meetings.join(many, "root").join(sizes, "root").join(own, "u").select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.expr("cast(pmod(xxhash64(u), blocks) as int)").alias("block"), F.lit(0).alias("kind"), F.col("u").alias("node"), "payload")
+    dealt = asking.union(members).repartition("root", "part", "block").sortWithinPartitions("root", "part", "block", "kind", "node")
+    up, down = share
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block, index = None, [], None
+        for batch in batches:
+            us, vs = [], []
+            for root, part, number, kind, node, payload in zip(*batch.columns, strict=True):
+                place = (root.as_py(), part.as_py(), number.as_py())
+                if place != at:
+                    at, block, index = place, [], None
+                own_set = np.frombuffer(payload.as_buffer(), dtype=np.uint64)
+                if kind.as_py() == 0:
+                    block.append((node.as_py(), own_set.copy()))
+                    continue
+                if not block:
+                    continue
+                if index is None:
+                    index = Block(block)
+                for u in index.similar_to(own_set, up, down):
+                    us.append(u)
+                    vs.append(node.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+        give_back()
+
+    return dealt.select("root", "part", "block", "kind", "node", "payload").mapInArrow(run, "u long, v long")
+
+
+class Block:
+    """Sets held as one sorted list of their shingles, each with its owner; one that has found a similar set is done with."""
+
+    def __init__(self, sets: list[tuple[int, np.ndarray]]):
+        self.nodes = [n for n, _ in sets]
+        self.sizes = np.array([len(x) for _, x in sets])
+        every = np.concatenate([x for _, x in sets])
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(every, kind="stable")
+        self.keys, self.owner = every[order], owner[order]
+        self.open = np.ones(len(sets), dtype=bool)
+
+    def similar_to(self, other: np.ndarray, up: int, down: int) -> list[int]:
+        fit = self.open & (np.minimum(self.sizes, len(other)) * down >= np.maximum(self.sizes, len(other)) * up)
+        if not fit.any():
+            return []
+        first, last = np.searchsorted(self.keys, other, "left"), np.searchsorted(self.keys, other, "right")
+        runs = last - first
+        total = int(runs.sum())
+        if not total:
+            return []
+        places = np.arange(total) + np.repeat(first - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs)
+        shared = np.bincount(self.owner[places], minlength=len(self.sizes))
+        near = fit & (shared * down >= (self.sizes + len(other) - shared) * up)
+        self.open &= ~near
+        return [self.nodes[i] for i in np.flatnonzero(near).tolist()]
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, share: tuple[int, int] = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -192,10 +283,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: tuple[int, int]
         rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_column}`")).alias("row"), F.col(f"`{text_column}`").alias("text"))
         chosen = rows.join(few(written(wanted, "wanted")), (F.col("row") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
         whole = written(chosen.mapInArrow(sets, "node long, payload binary").dropDuplicates(["node"]), "sets")
-        links = written(confirmed(proposals(prefix), whole, share), "links")
-        known = written(components(links), "known")
-        more = written(confirmed(written(merged(prefix, nodes, known), "pairs"), whole, share), "links")
-        groups = written(components(links.union(more)), "groups")
+        known = whole.select("node", F.col("node").alias("root")).limit(0)
+        for turn in range(TURNS):
+            named = written(proposals(rooted(prefix, known), turn), "proposals")
+            if named.isEmpty():
+                break
+            known = joined_roots(known, written(confirmed(named, whole, share), "links"))
+        postings = rooted(prefix, known)
+        links = written(settled(written(open_meetings(postings, nodes), "meetings"), known, whole, share), "links")
+        groups = joined_roots(known, links)
         release(spark, made, keep=1, first=1)
     named = nodes.select("node", F.col("least.doc_id").alias("id")).join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.join(named.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "component_id")

@@ -116,7 +116,7 @@ def test_similarity_is_a_comparison_of_whole_numbers():
     assert not minhash.similar(a, a[:0])
 
 
-def test_mergeable_names_all_pairs_of_other_components_with_enough_equal_bytes():
+def test_mergeable_names_every_meeting_of_two_components():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 256, (6, minhash.COORDINATES), dtype=np.uint8)
     sigs, roots = [], []
@@ -126,7 +126,47 @@ def test_mergeable_names_all_pairs_of_other_components_with_enough_equal_bytes()
         sig[at] = rng.integers(0, 256, len(at))
         sigs.append(sig)
         roots.append(int(rng.integers(0, 20)))
-    payload = pa.array([np.int64(r).tobytes() + s.tobytes() for r, s in zip(roots, sigs)], pa.binary())
+    size = {r: roots.count(r) for r in roots}
+    payload = pa.array([np.array([r, size[r]], dtype=np.int64).tobytes() + s.tobytes() for r, s in zip(roots, sigs)], pa.binary())
     for shift in (0, 25):
-        want = {(a, b) for a in range(shift or 60) for b in range(shift or a + 1, 60) if roots[a] != roots[b] and (sigs[a] == sigs[b]).sum() >= minhash.MATCHES}
-        assert set(minhash.mergeable(payload, shift)) == want
+        want = set()
+        for a in range(shift or 60):
+            for b in range(shift or a + 1, 60):
+                if roots[a] != roots[b] and (sigs[a] == sigs[b]).sum() >= minhash.MATCHES:
+                    x, y = (a, b) if (size[roots[a]], roots[a]) < (size[roots[b]], roots[b]) else (b, a)
+                    want.add((x, roots[y]))
+        got = [(a, roots[b]) for a, b in minhash.mergeable(payload, shift)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_block_counts_what_sets_share():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(80)]
+    block = minhash.Block(list(enumerate(sets[:40])))
+    done = set()
+    for other in sets[40:]:
+        want = {i for i in range(40) if i not in done and minhash.similar(sets[i], other, (1, 2))}
+        assert set(block.similar_to(other, 1, 2)) == want
+        done |= want
+    assert done
+
+
+@pytest.mark.parametrize("turns", [0, 1])
+def test_what_turns_leave_open_is_settled(spark, texts, monkeypatch, turns):
+    monkeypatch.setattr(minhash, "TURNS", turns)
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "MEMBERS", 2)
+    check(spark, list(enumerate(texts[:200])))
+
+
+def test_one_group_of_near_copies(spark):
+    """Copies with two changed words each: any two are near the threshold."""
+    rng = random.Random(3)
+    words = [f"g{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        own = list(words)
+        for _ in range(rng.randrange(1, 4)):
+            own[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    check(spark, rows)
