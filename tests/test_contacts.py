@@ -116,7 +116,8 @@ def test_preflight_names_every_stop(spark):
 def test_preflight_warns_of_size_domain_and_provider(spark):
     rows = [(1, "primary", [], f"u{i}@{'x' if i < 30 else f'y{i}'}.com", True, False) for i in range(10, 70)] + [(2, "skipped", ["already_contacted"], "z@z.com", True, False)]
     _, whole = preflight(spark, rows, [(1, "Yandex", True, [], ["large_body"]), (2, "mail", True, [], [])], max_per_day=20, same_domain=0.3)
-    assert whole[1].warnings == ["campaign_exceeds_daily_budget", "large_body", "many_recipients_same_domain", "large_campaign_review", "provider_policy_warning"] and whole[1].status == "WARNING"
+    assert whole[1].warnings == ["campaign_exceeds_daily_budget", "large_body", "many_recipients_same_domain", "large_campaign_review", "provider_policy_warning"]
+    assert whole[1].blocks == ["hard_bounce", "unresolved_safety_state"]  # rows 1 and 2 of the facts
     assert (whole[2].blocks, whole[2].status) == (["no_eligible_recipients"], "BLOCK")
 
 
