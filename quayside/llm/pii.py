@@ -33,8 +33,10 @@ SPAN = "struct<start:bigint,kind:int,end:bigint,value:string,before:string>"
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A separator that is not between two digits; and what is left of a card number's form once those are gone.
-LOOSE, DIGITS = r"[\x20-](?![0-9])|(?<![0-9])[\x20-]", r"[0-9][0-9\x20-]+"
+#: A separator that is not between two digits, and what is left of a card number's form once those are gone. In their places stand
+#: characters that are no part of a number but, as they were, no part of a word either, so that words before a number are still read.
+LOOSE, DIGITS = r"{0}(?![0-9])|(?<![0-9]){0}", r"[0-9][0-9\x20-]+"
+INSTEAD = {r"\x20": "\t", "-": "~"}
 TWELVE = r"[0-9](?:[\x20-]?[0-9]){11}"
 
 #: Candidates beyond the base: kind, pattern.
@@ -136,7 +138,10 @@ def base_spans(text: Column) -> Column:
     none = F.array().cast(f"array<{SPAN}>")
     mail = F.when(F.contains(text, F.lit("@")), matches(text, EMAIL, "email")).otherwise(none)
     ip = F.when(text.rlike(IP), matches(text, IP, "ip", octets)).otherwise(none)
-    card = F.when(text.rlike(TWELVE), matches(F.regexp_replace(text, LOOSE, "x"), DIGITS, "card", luhn)).otherwise(none)
+    apart = text
+    for separator, other in INSTEAD.items():
+        apart = F.regexp_replace(apart, LOOSE.format(separator), other)
+    card = F.when(text.rlike(TWELVE), matches(apart, DIGITS, "card", luhn)).otherwise(none)
     phone = F.when(F.contains(text, F.lit("+")), matches(text, PHONE, "phone", lambda x: F.length(digits(x)).between(9, 15))).otherwise(none)
     return F.array_sort(F.concat(mail, ip, card, phone))
 

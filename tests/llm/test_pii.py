@@ -81,12 +81,13 @@ def row_of(text, span, spans):
     start, kind, end = span
     name, value = KINDS[kind], text[start:end]
     pattern = pii.CANDIDATES.get(name) or LOOSE[name]
-    if name == "card":  # separators that are not between digits are no part of what is matched
-        text, pattern = re.sub(pii.LOOSE, "x", text), pii.DIGITS
-    before = text[:start]
+    whole = text
+    if name == "card":  # separators that are not between digits are no part of what is matched; what stands before is the text's own
+        text, pattern = re.sub(r"[ -](?![0-9])|(?<![0-9])[ -]", "x", text), r"[0-9][0-9 -]+"
+    before = whole[:start]
     for m in re.finditer(pattern, text):
         if m.end() <= start:
-            before = text[m.end() : start]
+            before = whole[m.end() : start]
     before = before[-pii.CONTEXT :]
     has = lambda p: re.search(p, value) is not None
     known, barred = pii.KNOWN[name]
@@ -109,6 +110,15 @@ def test_find_against_plain_version(spark):
     assert "secret:" in got[1002]
 
 
+def test_words_before_a_card_are_read(spark):
+    texts = ["my card 4111111111111111 ok", "isbn 4111111111111111", "4111 1111 1111 1111", "visa - 4111-1111-1111-1111.", 'card="4111111111111111"', "page-4111111111111111"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    spans = frame.select("text", F.explode(pii.base_spans(F.col("text"))).alias("s")).select("text", "s.value", pii.features(F.col("s")).alias("f"))
+    got = {r.text: (r.value, r.f.context, r.f.front) for r in spans.collect()}
+    assert [got[t][1:] for t in texts] == [(1, 1), (-1, 1), (0, 1), (1, 1), (1, 2), (-1, 0)]
+    assert got[texts[3]][0] == "4111-1111-1111-1111"
+
+
 def test_planted_secrets_are_added(spark):
     found = pii.op9_personal_data(spark, "/root/testdata/sf0.01")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
