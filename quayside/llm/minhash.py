@@ -11,12 +11,13 @@ node whose coordinates are the most common ones, which lies in the middle of its
 component), and each node proposes itself to the leader that it collides with most often; whole sets decide. So a group of n near
 copies takes about n comparisons, not n * n. What is open after TURNS turns is settled completely: the postings in which several
 components meet are merged in chunks. The long lists beyond the prefix are not merged: their collisions are counted on a byte
-of each coordinate, in steps, and a pair is skipped as soon as what is left of the signature cannot bring it to MATCHES.
+of each of WIDE coordinates, in steps, and a pair is skipped as soon as what is left of them cannot bring it to WIDE_MATCHES.
+A pair is told in the least of the postings that both prefixes have, and skipped in the others.
 A node of the smaller component and the larger component that are left meet once, whatever number of pairs they have:
 blocks of such nodes are held as one sorted list of shingles, which the sets of the component pass through, until one is similar.
 
-Two texts of similarity 0.85 agree in fewer than 80 of 128 coordinates with probability 4e-9, more similar ones with less;
-such a pair is missed unless others connect it. No link stands unchecked.
+Two texts of similarity 0.85 agree in fewer than 80 of 128 coordinates, or 180 of 256, with probability 4e-9, more similar ones
+with less; such a pair is missed unless others connect it. No link stands unchecked.
 
 Defined results: null texts and texts without words have no shingles, are linked with nothing and are kept; fewer words
 than `width` make one shingle; copies share a node and are never expanded into pairs; a row is a document, so repeated rows are
@@ -42,6 +43,9 @@ WIDTH = 3
 #: Similarity as a fraction of whole numbers.
 SIMILARITY = (85, 100)
 COORDINATES, MATCHES = 128, 80
+#: Coordinates of the wider signature that open pairs are counted on, a byte each.
+WIDE, WIDE_MATCHES = 256, 180
+PREFIX = COORDINATES - MATCHES + 1
 #: Nodes of a posting that are merged together; partners of a leader that are compared in one task.
 CHUNK, PARTNERS = 512, 512
 #: Turns of proposals; nodes and bytes of a block that a component passes, and members of the component that pass it in one task.
@@ -50,16 +54,16 @@ TURNS, BLOCK, BLOCK_BYTES, MEMBERS = 3, 256, 32 << 20, 1024
 STEP = 32
 
 _random = np.random.default_rng(SEED)
-_TIMES = _random.integers(0, 1 << 32, COORDINATES, dtype=np.uint32) | np.uint32(1)
-_FLIP = _random.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
+_TIMES = _random.integers(0, 1 << 32, WIDE, dtype=np.uint32) | np.uint32(1)
+_FLIP = _random.integers(0, 1 << 32, WIDE, dtype=np.uint32)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
+def signature(hashes: np.ndarray, wide: int = COORDINATES) -> np.ndarray:
     """The minimum of each coordinate's permutation of the upper 32 bits of the hashes."""
     low = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(COORDINATES, 0xFFFFFFFF, dtype=np.uint32)
+    least = np.full(wide, 0xFFFFFFFF, dtype=np.uint32)
     for a in range(0, len(low), 256):
-        np.minimum(least, ((low[a : a + 256, None] ^ _FLIP) * _TIMES).min(axis=0), out=least)
+        np.minimum(least, ((low[a : a + 256, None] ^ _FLIP[:wide]) * _TIMES[:wide]).min(axis=0), out=least)
     return least
 
 
@@ -73,14 +77,17 @@ def similar(a: np.ndarray, b: np.ndarray, share: tuple[int, int] = SIMILARITY) -
 
 
 def mergeable(payload: pa.Array, shift: int) -> list[tuple[int, int]]:
-    """(a, b): node a agrees with some node of b's component in MATCHES bytes of the signature or more, as those with MATCHES equal coordinates do.
+    """(a, b): node a agrees with some node of b's component in WIDE_MATCHES bytes or more, as those with so many equal coordinates do.
 
-    b stands for its component, which is larger than a's, or as large and of greater number. A payload: the component and its size
-    (8 bytes each), then a byte a coordinate.
+    b stands for its component, which is larger than a's, or as large and of greater number. Pairs that meet in a lesser posting
+    are left to that. A payload: the component, its size, this posting and the PREFIX postings of the node, filled up with -1 (8 bytes
+    each), then a byte a coordinate.
     """
-    raw = np.frombuffer(b"".join(payload.to_pylist()), dtype=np.uint8).reshape(len(payload), 16 + COORDINATES)
-    component, size = (np.ascontiguousarray(raw[:, i : i + 8]).view("<i8")[:, 0] for i in (0, 8))
-    sig = raw[:, 16:]
+    numbers = 3 + PREFIX
+    raw = np.frombuffer(b"".join(payload.to_pylist()), dtype=np.uint8).reshape(len(payload), 8 * numbers + WIDE)
+    whole = np.ascontiguousarray(raw[:, : 8 * numbers]).view("<i8")
+    component, size, here, lists = whole[:, 0], whole[:, 1], whole[0, 2], whole[:, 3:]
+    sig = raw[:, 8 * numbers :]
     if (component == component[0]).all():
         return []
     found: dict[tuple[int, int], tuple[int, int]] = {}
@@ -88,12 +95,15 @@ def mergeable(payload: pa.Array, shift: int) -> list[tuple[int, int]]:
         first = shift or a + 1
         others = first + np.flatnonzero(component[first:] != component[a])
         count = np.zeros(len(others), dtype=np.int64)
-        for part in range(0, COORDINATES, STEP):
+        for part in range(0, WIDE, STEP):
             count += (sig[others, part : part + STEP] == sig[a, part : part + STEP]).sum(axis=1)
-            open_ = count + (COORDINATES - part - STEP) >= MATCHES
+            open_ = count + (WIDE - part - STEP) >= WIDE_MATCHES
             others, count = others[open_], count[open_]
             if not len(others):
                 break
+        lesser = lists[a][(lists[a] >= 0) & (lists[a] < here)]
+        if len(lesser) and len(others):
+            others = others[~np.isin(lists[others], lesser).any(axis=1)]
         for b in others.tolist():
             x, y = (a, b) if (size[a], component[a]) < (size[b], component[b]) else (b, a)
             found.setdefault((x, int(component[y])), (x, y))
@@ -180,19 +190,23 @@ def joined_roots(known: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.union(now.join(known.select("node"), "node", "left_anti").select("node", "root")), "known")
 
 
-def open_meetings(postings: DataFrame, nodes: DataFrame) -> DataFrame:
-    """u, root: nodes that may be similar to one of a larger component. postings: as of rooted()."""
+def open_meetings(postings: DataFrame, wide: DataFrame) -> DataFrame:
+    """u, root: nodes that may be similar to one of a larger component. postings: as of rooted(); wide: node, wide."""
     several = postings.groupBy("p").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("p")
+    lists = postings.groupBy("node").agg(F.sort_array(F.collect_list("p")).alias("list"))  # PREFIX at most
 
     def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            sig = batch.column(4).flatten().to_numpy().reshape(n, COORDINATES).astype(np.uint8)
-            parts = [batch.column(i).to_numpy().astype("<i8").view(np.uint8).reshape(n, 8) for i in (2, 3)]
-            rows = np.concatenate([*parts, sig], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], ["k", "node", "payload"])
-
-    held = postings.join(several, "p", "left_semi").join(nodes.select("node", "sig"), "node").select(F.col("p").alias("k"), "node", "root", "size", "sig")
+            numbers = np.full((n, 3 + PREFIX), -1, dtype="<i8")
+            for i, c in enumerate((2, 3, 0)):
+                numbers[:, i] = batch.column(c).to_numpy()
+            for row, listed in zip(numbers, batch.column(4), strict=True):
+                row[3 : 3 + len(listed)] = listed.values.to_numpy()
+            rows = [x.tobytes() + w.as_py() for x, w in zip(numbers, batch.column(5), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["k", "node", "payload"])
+
+    held = postings.join(several, "p", "left_semi").join(lists.join(wide, "node"), "node").select(F.col("p").alias("k"), "node", "root", "size", "list", "wide")
     found = linked(held.mapInArrow(payloads, "k long, node long, payload binary"), CHUNK, mergeable)
     roots = postings.select(F.col("node").alias("v"), "root").distinct()
     return found.distinct().join(roots, "v").select("u", "root").distinct()
@@ -272,8 +286,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: tuple[int, int]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([shingles(x.as_py(), width).tobytes() for x in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["node", "payload"])
+            found = [shingles(x.as_py(), width) for x in batch.column(1)]
+            wide = [signature(x, WIDE).astype(np.uint8).tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary()), pa.array(wide, pa.binary())], ["node", "payload", "wide"])
         give_back()
 
     with run_of_tables() as made:
@@ -282,7 +297,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: tuple[int, int]
         wanted = nodes.join(prefix.select("node").distinct(), "node").select("node", F.col("least.doc_id").alias("id"), F.col("least.row").alias("of"))
         rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_column}`")).alias("row"), F.col(f"`{text_column}`").alias("text"))
         chosen = rows.join(few(written(wanted, "wanted")), (F.col("row") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
-        whole = written(chosen.mapInArrow(sets, "node long, payload binary").dropDuplicates(["node"]), "sets")
+        sets_of = written(chosen.mapInArrow(sets, "node long, payload binary, wide binary").dropDuplicates(["node"]), "sets")
+        whole = sets_of.select("node", "payload")
         known = whole.select("node", F.col("node").alias("root")).limit(0)
         for turn in range(TURNS):
             named = written(proposals(rooted(prefix, known), turn), "proposals")
@@ -290,7 +306,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: tuple[int, int]
                 break
             known = joined_roots(known, written(confirmed(named, whole, share), "links"))
         postings = rooted(prefix, known)
-        links = written(settled(written(open_meetings(postings, nodes), "meetings"), known, whole, share), "links")
+        links = written(settled(written(open_meetings(postings, sets_of.select("node", "wide")), "meetings"), known, whole, share), "links")
         groups = joined_roots(known, links)
         release(spark, made, keep=1, first=1)
     named = nodes.select("node", F.col("least.doc_id").alias("id")).join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -118,25 +118,30 @@ def test_similarity_is_a_comparison_of_whole_numbers():
 
 def test_mergeable_names_every_meeting_of_two_components():
     rng = np.random.default_rng(4)
-    base = rng.integers(0, 256, (6, minhash.COORDINATES), dtype=np.uint8)
-    sigs, roots = [], []
+    base = rng.integers(0, 256, (6, minhash.WIDE), dtype=np.uint8)
+    sigs, roots, lists = [], [], []
     for i in range(60):
         sig = base[i % 6].copy()
-        at = rng.choice(minhash.COORDINATES, rng.integers(0, 60), replace=False)
+        at = rng.choice(minhash.WIDE, rng.integers(0, 100), replace=False)
         sig[at] = rng.integers(0, 256, len(at))
         sigs.append(sig)
         roots.append(int(rng.integers(0, 20)))
+        lists.append(sorted({50, *rng.integers(0, 1000, rng.integers(0, minhash.PREFIX - 1)).tolist()}))
     size = {r: roots.count(r) for r in roots}
-    payload = pa.array([np.array([r, size[r]], dtype=np.int64).tobytes() + s.tobytes() for r, s in zip(roots, sigs)], pa.binary())
+    padded = [x + [-1] * (minhash.PREFIX - len(x)) for x in lists]
+    payload = pa.array([np.array([r, size[r], 50, *x], dtype=np.int64).tobytes() + s.tobytes() for r, s, x in zip(roots, sigs, padded)], pa.binary())
     for shift in (0, 25):
-        want = set()
+        want, left = set(), 0
         for a in range(shift or 60):
             for b in range(shift or a + 1, 60):
-                if roots[a] != roots[b] and (sigs[a] == sigs[b]).sum() >= minhash.MATCHES:
+                if roots[a] != roots[b] and (sigs[a] == sigs[b]).sum() >= minhash.WIDE_MATCHES:
+                    if min(set(lists[a]) & set(lists[b])) < 50:
+                        left += 1
+                        continue
                     x, y = (a, b) if (size[roots[a]], roots[a]) < (size[roots[b]], roots[b]) else (b, a)
                     want.add((x, roots[y]))
         got = [(a, roots[b]) for a, b in minhash.mergeable(payload, shift)]
-        assert len(got) == len(set(got)) and set(got) == want
+        assert left and want and len(got) == len(set(got)) and set(got) == want
 
 
 def test_block_counts_what_sets_share():
