@@ -140,3 +140,42 @@ def display_name(name: Column) -> Column:
     for long, short in (("общество с ограниченной ответственностью", "ООО"), ("публичное акционерное общество", "ПАО"), ("закрытое акционерное общество", "ЗАО"), ("акционерное общество", "АО"), ("индивидуальный предприниматель", "ИП")):
         out = F.regexp_replace(out, f"(?iu){long}", short)
     return F.trim(F.regexp_replace(F.regexp_replace(out, "[\"“”„]", ""), r"\s+", " "))
+
+
+# Fixed values from here on.
+UNLABELLED_ID = r"(?U)(?<![0-9])([0-9][0-9\s-]{8,14}[0-9])(?![0-9])"
+OWN_LABELS = ["инн", "inn", "taxid", "tax_id", "vatin"]
+OTHER_LABELS = ["кпп", "огрн", "огрнип", "окпо", "оквэд", "бик", "октмо", "окато", "р/с", "к/с", "счет", "счёт", "лицензия", "снилс", "артикул", "телефон"]
+LABEL_WINDOW = 40
+# End of fixed values.
+
+
+def unlabelled_ids(text: Column) -> Column:
+    """Numbers without a tax-id label, checksum right, each once: none that another number's label stands before.
+
+    The LABEL_WINDOW characters before a number are put together from the stretches and numbers in front of it, of which
+    four are enough: a number has ten characters or more.
+    """
+    numbers, stretches = F.regexp_extract_all(text, F.lit(UNLABELLED_ID), F.lit(1)), F.split(text, UNLABELLED_ID, -1)
+    near = lambda c, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(c, w))
+
+    def read(both: Column) -> Column:
+        pieces = F.transform(both["numbers"], lambda x, i: F.struct(F.get(both["stretches"], i).alias("part"), x.alias("number")))
+
+        def one(x: Column, i: Column) -> Column:
+            front = F.slice(pieces, F.greatest(i - 3, F.lit(1)), F.least(i, F.lit(4)))
+            front = F.when(i == 0, "").otherwise(F.array_join(F.transform(front, lambda y: F.concat(y["part"], y["number"])), ""))
+            before = F.lower(F.right(F.concat(front, x["part"]), F.lit(LABEL_WINDOW)))
+            return F.struct(digits_only(x["number"]).alias("number"), (near(before, OWN_LABELS) | near(before, OTHER_LABELS)).alias("named"))
+
+        return F.transform(F.filter(F.transform(pieces, one), lambda x: ~x["named"] & valid_company_id(x["number"])), lambda x: x["number"])
+
+    return F.array_distinct(F.element_at(F.transform(F.array(F.struct(numbers.alias("numbers"), stretches.alias("stretches"))), read), 1))
+
+
+def ids_of_text(text: Column) -> Column:
+    """array of struct(number, method): labelled numbers, then those without any label."""
+    text = F.coalesce(text, F.lit(""))
+    labelled = labelled_ids(text)
+    named = lambda c, method: F.transform(c, lambda x: F.struct(x.alias("number"), F.lit(method).alias("method")))
+    return F.concat(named(labelled, "labeled"), named(F.array_except(unlabelled_ids(text), labelled), "text"))
