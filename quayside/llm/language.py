@@ -104,7 +104,7 @@ def text_evidence(model, n_languages: int):
 
 def declared_in(html: Column) -> Column:
     """The language that a page's html tag declares, without region, or null."""
-    return F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html[^>]{0,500}?\slang\s*=\s*[\"']?([A-Za-z]{2,3})", 1)), F.lit(""))
+    return F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html(?=[\s>])[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3})", 1)), F.lit(""))
 
 
 def host_of(url: Column) -> Column:
