@@ -196,8 +196,11 @@ def retry_verdicts(asked: DataFrame, jobs: DataFrame, messages: DataFrame, attem
     by_key, by_recipient = suppressed_rows(blacklist, suppliers)
     mark("barred", (by_key.where("key <> ''"), ["workspace_id", "key"], None), (by_recipient, ["workspace_id", "recipient"], None))
     replied, at, wrote = answered_rows(states, suppliers, messages)
-    anyone = (F.col("supplier_id").isNull() | (F.col("supplier_id") == F.col("f_supplier_id"))) & ((F.col("recipient") == "") | (F.col("recipient") == F.col("f_recipient")))
-    mark("answered", (replied, ["request_id", "supplier_id"], None), (at, here, None), (wrote, ["request_id"], anyone))
+    # who wrote is met by equality in each case: a row without a supplier, or without an address, asks for less
+    nobody, blank = F.col("supplier_id").isNull(), F.col("recipient") == ""
+    some = lambda *on: (wrote.select(*on).distinct(), list(on))
+    wrote_to = [(wrote, ["request_id", "supplier_id", "recipient"], None), (*some("request_id", "recipient"), nobody & ~blank), (*some("request_id", "supplier_id"), blank), (*some("request_id"), nobody & blank)]
+    mark("answered", (replied, ["request_id", "supplier_id"], None), (at, here, None), *wrote_to)
     mark("planned", (retries.select("workspace_id", "request_id", address(F.col("normalized_recipient")).alias("recipient")), ["workspace_id", *here], None))
 
     has, goal, tried_ = F.coalesce("has_source", F.lit(False)), F.coalesce("has_target", F.lit(False)), F.col("try").isNotNull()

@@ -129,7 +129,7 @@ def company_summary(t: Tables) -> DataFrame:
     return joined.select("c_custkey", zero("o_n", "orders"), "last_order", zero("l_n", "lines"), zero("returned", "returned"), zero("e_n", "events"), zero("errors", "errors"))
 
 
-@query("AGG28", "AGG30", "STM18", "RDM14", sql="""
+@query("AGG30", sql="""
     WITH c AS (SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'purchase') AS accepted, count(*) FILTER (event_type = 'error') AS unknown, count(*) FILTER (event_type = 'signup' AND value > 98) AS bounced FROM events GROUP BY 1)
     SELECT user_id, total, accepted, unknown, bounced, CASE WHEN bounced > 0 THEN 'hard_bounce' WHEN unknown / total > 0.25 THEN 'permanent_failure_rate' WHEN accepted / total > 0.1 AND unknown > 9 THEN 'delivery_unknown_rate' END AS pause, (total > 0 AND unknown = 0) AS complete FROM c""")
 def campaign_funnel(t: Tables) -> DataFrame:

@@ -38,5 +38,5 @@ def query(*rows: str, sql: str | None = None, name: str | None = None):
     return put
 
 
-for _module in ("relational", "aggregates", "sequences", "merges", "texts", "models", "campaigns", "identity", "contacts", "links", "companies", "verdicts", "streams"):
+for _module in ("relational", "aggregates", "sequences", "merges", "texts", "models", "campaigns", "identity", "contacts", "links", "companies", "proximity", "verdicts", "streams"):
     importlib.import_module(f"quayside.plans.{_module}")
