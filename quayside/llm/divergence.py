@@ -85,8 +85,11 @@ def pair_values(vocabulary: DataFrame, kept: DataFrame, sizes: DataFrame) -> Dat
     dense = dense.groupBy("lang", "term", "number").agg(F.sum("n").alias("n")).join(few(sizes.select("number", "total", "terms")), "number")
     dense = dense.select("lang", "term", "number", share(F.col("n"), F.col("total"), F.col("terms")).alias("p"))
     other = dense.select("lang", "term", F.col("number").alias("other"), F.col("p").alias("q"))
-    met = dense.join(other, ["lang", "term"]).where("number <> other")
-    sums = met.groupBy("number", "other").agg(F.sum(distance(F.col("p"), F.col("q"))).alias("value"))
+    # two sources meet once in a term, which gives the sums of both directions
+    met = dense.join(other, ["lang", "term"]).where("number < other")
+    both = met.groupBy("number", "other").agg(F.sum(distance(F.col("p"), F.col("q"))).alias("there"), F.sum(distance(F.col("q"), F.col("p"))).alias("back"))
+    way = lambda a, b, value: F.struct(F.col(a).alias("number"), F.col(b).alias("other"), F.col(value).alias("value"))
+    sums = both.select(F.explode(F.array(way("number", "other", "there"), way("other", "number", "back"))).alias("x")).select("x.*")
     names = sizes.select("lang", "source", "number")
     every = names.join(few(names.select("lang", F.col("source").alias("item"), F.col("number").alias("other"))), "lang").where("number <> other")
     return every.join(sums, ["number", "other"], "left").select("lang", "source", "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
