@@ -124,6 +124,7 @@ def test_latest_overlap_against_a_loop(spark):
         want += [(i, max(others), len(seen[i] & seen[max(others)]))] if others else []
     frame = spark.createDataFrame(rows, "item_id long, text string")
     tables = type("T", (), {"benchmark": frame})
+    import quayside.plans.registry  # the register first: it imports the plans in their order
     from quayside.plans.relational import token_overlap_pairs
 
     assert sorted(tuple(r) for r in token_overlap_pairs(tables).collect()) == want
