@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +89,28 @@ def test_names_against_loops(spark):
     assert got == want and len(want) > 3
 
 
+def test_later_queries_of_a_host_are_answered_in_rounds(spark):
+    # no record has half of "раз два три", whose words are as rare as each other; the answers come late, and some again
+    registry = spark.createDataFrame([(number(i), None, w, "", []) for i, w in enumerate(["раз", "два", "три", "кирпич", "кирпич а", "бетон", "бетон кирпич"])], REGISTRY)
+    asked = [("late.ru", i, "раз два три") for i in range(20)] + [("late.ru", 20, "бетон"), ("late.ru", 21, "раз два три"), ("late.ru", 40, "кирпич"), ("late.ru", 41, "бетон"), ("never.ru", 1, "раз два три"), ("soon.ru", None, "кирпич"), (None, 7, "три")]
+    asked = spark.createDataFrame(asked, "host string, place int, query string")
+    got = [tuple(r) for r in companies.name_candidates(asked, registry).orderBy("host", "rank").collect()]
+    at = lambda host, *found: [(host, number(n), rank) for rank, n in enumerate(found, 1)]
+    assert got == at(None, 2) + at("late.ru", 5, 6, 3, 4) + at("soon.ru", 3, 4, 6)
+    assert [r["rank"] for r in companies.name_candidates(asked, registry, 2).where("host = 'late.ru'").orderBy("rank").collect()] == [1, 2]
+    assert companies.name_candidates(asked.where("false"), registry).collect() == []
+
+
+def test_a_frequent_word_in_many_queries(spark):
+    many = 12_000  # each of as many queries shares its words with all records: 144 million pairs if all were met
+    registry = spark.range(many).selectExpr("lpad(id, 10, '0') AS inn", "'' AS ogrn", "concat('сервис торг ', repeat('x', int(id % 2))) AS name", "'' AS site", "array('') AS emails")
+    queries = spark.range(many).selectExpr("concat('h', id % 5) AS host", "id AS place", "'торг сервис' AS query")
+    begun = time.monotonic()
+    got = companies.name_candidates(queries, registry).collect()
+    assert time.monotonic() - begun < 45
+    assert sorted(tuple(r) for r in got) == sorted((f"h{h}", f"{2 * n:010d}", n + 1) for h in range(5) for n in range(6))
+
+
 def test_registration_numbers_and_backlog(spark):
     check = lambda n: f"{n}{n % 11 % 10}"
     a, b = check(102770000001), check(102770000002)
