@@ -94,11 +94,16 @@ def kpi_tile(t: Tables) -> DataFrame:
     CASE WHEN count(*) FILTER (event_type = 'view') > 0 THEN round_even(100.0::DOUBLE * count(*) FILTER (event_type = 'purchase') / count(*) FILTER (event_type = 'view'), 0) ELSE 0.0 END AS rate,
     CASE WHEN count(*) FILTER (event_type = 'error') > 14 THEN 'blacklisted' WHEN count(*) FILTER (event_type = 'purchase') > 14 THEN 'favorite' ELSE 'none' END AS relation FROM events GROUP BY 1""")
 def means_and_rates(t: Tables) -> DataFrame:
-    """Mean to one decimal and a percent, half to even; precedence of relations."""
+    """Mean to one decimal and a percent, half to even; precedence of relations.
+
+    Values become cents, and means tenths, by multiplying before rounding, as SQL does: bround() and the cast to decimal go by a double's
+    shortest digits, which for 635.40 / 12 are 52.949999999999996.
+    """
+    cents = (F.round(F.col("value") * 100) / 100).cast("decimal(18,2)")
     n = lambda kind: F.count_if(F.col("event_type") == kind)
-    grouped = t.events.groupBy("user_id").agg((F.sum(F.col("value").cast("decimal(18,2)")).cast("double") / F.count("*")).alias("m"), n("purchase").alias("p"), n("view").alias("v"), n("error").alias("e"))
+    grouped = t.events.groupBy("user_id").agg((F.sum(cents).cast("double") / F.count("*")).alias("m"), n("purchase").alias("p"), n("view").alias("v"), n("error").alias("e"))
     relation = F.when(F.col("e") > 14, "blacklisted").when(F.col("p") > 14, "favorite").otherwise("none")
-    return grouped.select("user_id", F.bround("m", 1).alias("mean_value"), status.percent(F.col("p"), F.col("v")).alias("rate"), relation.alias("relation"))
+    return grouped.select("user_id", (F.rint(F.col("m") * 10) / 10).alias("mean_value"), status.percent(F.col("p"), F.col("v")).alias("rate"), relation.alias("relation"))
 
 
 @query("AGG18", "AGG38", sql="SELECT n_regionkey, array_to_string(list_sort(list(DISTINCT n_name)), ',') AS names, CAST(sum(n_nationkey) AS BIGINT) AS total, max(n_name) AS last FROM nation GROUP BY 1")

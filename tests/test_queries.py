@@ -36,3 +36,17 @@ def test_query(spark, duck, name):
 
 def test_flagship_is_registered():
     assert registry.FLAGSHIP in registry.QUERIES and set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def test_means_halfway_between_tenths(spark, tmp_path):
+    sums = [(635.4, 12), (2398.2, 84), (487.35, 19), (7121.4, 132), (-2182.95, 77), (0.5, 2), (0.3, 2)]
+    rows = [(u, "view", v) for u, (total, n) in enumerate(sums) for v in [total] + [0.0] * (n - 1)]
+    rows += [(100 + i, "purchase", v) for i, v in enumerate([9158.085, 8423.095, -9158.085, 0.125, 0.375, None])]
+    rows += [(200 + i, kind, 9158.045) for i in range(60) for kind in ["view"] * (i + 1) + ["purchase"] * 7]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(registry.ORACLES["means_and_rates"]).fetchall()
+    got = [tuple(r) for r in registry.QUERIES["means_and_rates"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    assert [m for u, m, *_ in sorted(got) if u < 7] == [53.0, 28.6, 25.6, 54.0, -28.4, 0.2, 0.2]
