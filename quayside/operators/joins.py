@@ -6,6 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Pairs that a slice of sliced_join() makes, about.
+PAIRS = 2_000_000
+
+
+def sliced_join(left: DataFrame, right: DataFrame, on: list[str], pairs: int = PAIRS) -> DataFrame:
+    """left and right joined on equal columns, where the pairs are many more than the rows.
+
+    Pairs are counted by key first. A key's left rows are dealt to slices of about so many pairs, its right rows go to every slice,
+    and there are as many partitions as slices fill: more pairs are more tasks, not longer ones, as bytes of input would have it.
+    """
+    sizes = left.groupBy(on).agg(F.count("*").alias("_left")).join(right.groupBy(on).agg(F.count("*").alias("_right")), on)
+    sizes = sizes.withColumn("_pairs", F.col("_left") * F.col("_right"))
+    partitions = (sizes.agg(F.sum("_pairs")).first()[0] or 0) // pairs + 1
+    slices = sizes.select(*on, F.least("_left", F.ceil(F.col("_pairs") / pairs)).alias("_slices"))
+    dealt = left.join(slices, on).withColumn("_slice", F.pmod(F.xxhash64(*left.columns), "_slices")).drop("_slices")
+    copied = right.join(slices, on).withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slices") - 1))).drop("_slices")
+    on = [*on, "_slice"]
+    return dealt.repartition(partitions, *on).join(copied.repartition(partitions, *on), on).drop("_slice")
+
+
 def domain_suffixes(host: Column) -> Column:
     """The host and every parent domain of it: a.b.c -> [a.b.c, b.c, c]."""
     labels = F.split(F.lower(host), r"\.")

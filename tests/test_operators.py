@@ -128,3 +128,17 @@ def test_latest_overlap_against_a_loop(spark):
     from quayside.plans.relational import token_overlap_pairs
 
     assert sorted(tuple(r) for r in token_overlap_pairs(tables).collect()) == want
+
+
+def test_sliced_join_deals_pairs_to_tasks(spark):
+    from quayside.operators.joins import sliced_join
+
+    left = spark.range(2000).selectExpr("id % 1000 AS a", "CASE WHEN id % 50 = 0 THEN id % 7 WHEN id % 50 = 1 THEN NULL ELSE 1 END AS k").repartition(2)
+    right = spark.range(300).selectExpr("id % 250 AS b", "CASE WHEN id % 20 = 0 THEN id % 9 WHEN id % 20 = 1 THEN NULL ELSE 1 END AS k")
+    want = sorted(map(tuple, left.join(right, "k").select("k", "a", "b").collect()))
+    for pairs in (20_000, 10**9):
+        got = sliced_join(left, right, ["k"], pairs).select("k", "a", "b")
+        assert sorted(map(tuple, got.collect())) == want
+    sizes = sliced_join(left, right, ["k"], 5000).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == len(want) and len(sizes) > 100 and max(sizes) < 8 * 5000
+    assert sliced_join(left.where("false"), right, ["k"]).collect() == []

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quayside.plans import registry
 
@@ -50,3 +51,17 @@ def test_means_halfway_between_tenths(spark, tmp_path):
     got = [tuple(r) for r in registry.QUERIES["means_and_rates"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want)
     assert [m for u, m, *_ in sorted(got) if u < 7] == [53.0, 28.6, 25.6, 54.0, -28.4, 0.2, 0.2]
+
+
+def test_pairs_of_one_key_are_many_tasks(spark, tmp_path):
+    many = 8000
+    spark.range(many).selectExpr("id AS p_partkey", "1 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(many).selectExpr("id AS s_suppkey", "1 AS s_nationkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = registry.QUERIES["array_membership_join"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum(F.xxhash64("p_partkey", "s_suppkey").cast("decimal(20,0)")).alias("h")).collect()
+    want = sum(1 for p in range(8) for s in range(35) if p in (s % 5, s % 7)) / (8 * 35)
+    total = sum(r.n for r in rows)
+    assert abs(total / many**2 - want) < 1e-3
+    assert len(rows) > 3 and max(r.n for r in rows) < total / 2
+    p, s = spark.read.parquet(f"{tmp_path}/part.parquet"), spark.read.parquet(f"{tmp_path}/supplier.parquet")
+    plain = s.join(p, F.expr("p_size = s_nationkey AND array_contains(array(s_suppkey % 5, s_suppkey % 7), p_partkey % 8)"))
+    assert plain.agg(F.count("*"), F.sum(F.xxhash64("p_partkey", "s_suppkey").cast("decimal(20,0)"))).first() == (total, sum(r.h for r in rows))
