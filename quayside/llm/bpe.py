@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.llm.common import give_back, small_batches, table, written
-from quayside.llm.pretokens import HOT, KEPT, Cutter, counted, crosses, frequent, table_of
+from quayside.llm.pretokens import HOT, Cutter, counted, crosses, frequent, table_of
 
 #: Pre-tokens that are replayed together.
 TOGETHER = 20_000
@@ -35,6 +35,8 @@ TOGETHER = 20_000
 COMMON = 1500
 #: Pre-tokens that a table of a task proposes as frequent.
 LEADING = 1 << 16
+#: Entries of a task's tables of stretches and rare pre-tokens, some 100 MB, which are emptied beyond; this changes no result.
+KEPT = 400_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

@@ -83,3 +83,17 @@ def test_count_table(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None), (2, "é " * 2000), (None, "<|endoftext|>")], "doc_id long, text string")
     got = {(r.doc_id, r.n_bytes): (r.n_tokens, r.over_limit) for r in token_counts(docs, P.path("byte_bpe_50k.json")).collect()}
     assert got[1, 3] == (2, False) and got[2, 0] == (0, False) and got[None, 13] == (1, False) and got[2, 6000][1] is True
+
+
+def test_stretches_of_a_task_are_replayed_once(monkeypatch):
+    from quayside.llm import bpe
+    from quayside.llm.pretokens import PATTERN, Cutter
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: letters[i // 17576] + letters[i // 676 % 26] + letters[i // 26 % 26] + letters[i % 26]
+    done, replayed = [], bpe.replayed
+    monkeypatch.setattr(bpe, "replayed", lambda words, merges: done.append(len(words)) or replayed(words, merges))
+    encoder = bpe.Encoder(bpe.Merges({bytes([i]): i for i in range(256)}), {}, Cutter(PATTERN))
+    texts = [" ".join(map(word, range(a, a + 90_000))) for a in (0, 90_000, 0)]
+    first, _, again = (encoder.encode([text])[0] for text in texts)
+    assert first == again and sum(done) < 181_000
